@@ -42,13 +42,19 @@ def grouped_quantiles(
         sketch = F.percentile_approx(F.when(F.col("_q") == name, F.col("_v")), ends, ACCURACY)
         brackets = sketch if brackets is None else F.coalesce(brackets, sketch)
     bounds = long.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.first("_p").alias("_p"), brackets.alias("_b")
+        F.count("*").alias("_n"),
+        F.first("_p").alias("_p"),
+        brackets.alias("_b"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
     )
+    # The margin covers the sketch error and two ranks once a group has ACCURACY rows.
+    large = F.col("_n") >= ACCURACY
     bounds = bounds.select(
         *by,
         (F.col("_p") * (F.col("_n") - 1)).alias("_pos"),
-        F.col("_b")[0].alias("_lo"),
-        F.col("_b")[1].alias("_hi"),
+        F.when(large, F.col("_b")[0]).otherwise(F.col("_min")).alias("_lo"),
+        F.when(large, F.col("_b")[1]).otherwise(F.col("_max")).alias("_hi"),
     )
 
     zone = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") > F.col("_hi"), 2).otherwise(1)

@@ -34,14 +34,18 @@ def rolling_mean(y: Column, horizon: int, window: int) -> Column:
     return F.array_repeat(array_mean(recent), horizon)
 
 
-def week_mean(weeks: Column, y: Column, target_weeks: Column) -> Column:
+def week_pairs(weeks: Column, y: Column) -> Column:
+    """``(ISO week, value)`` of every training row, the input of :func:`week_mean`."""
+    return F.zip_with(
+        weeks, y, lambda w, v: F.struct(F.weekofyear(w).alias("wk"), v.alias("v"))
+    )
+
+
+def week_mean(pairs: Column, target_weeks: Column) -> Column:
     """Training mean of the target's ISO week.
 
     A week number that training never saw gets the plain mean of the week means.
     """
-    pairs = F.zip_with(
-        weeks, y, lambda w, v: F.struct(F.weekofyear(w).alias("wk"), v.alias("v"))
-    )
 
     def mean_of(number: Column) -> Column:
         same = F.filter(pairs, lambda p: p["wk"] == number)
@@ -54,40 +58,63 @@ def week_mean(weeks: Column, y: Column, target_weeks: Column) -> Column:
     )
 
 
-def holt_state(y: Column) -> tuple[Column, Column]:
-    """Level and slope before the first value: a line through the first ten values."""
+def holt_start(y: Column) -> Column:
+    """Struct of level and trend before the first value: a line through the first ten."""
     head = F.slice(y, 1, 10)
     m = F.size(head)
-    total = F.aggregate(head, F.lit(0.0), lambda a, v: a + v)
-    moment = F.aggregate(
-        F.transform(head, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v
+    sums = F.aggregate(
+        F.transform(head, lambda v, i: F.struct(v.alias("v"), (v * (i + 1)).alias("tv"))),
+        F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("tv")),
+        lambda a, x: F.struct((a["v"] + x["v"]).alias("v"), (a["tv"] + x["tv"]).alias("tv")),
+        lambda a: F.struct(
+            (a["v"] / m).alias("mean"),
+            F.coalesce(
+                F.try_divide(
+                    a["tv"] - (m + 1) / F.lit(2.0) * a["v"], m * (m * m - 1) / F.lit(12.0)
+                ),
+                F.lit(0.0),
+            ).alias("slope"),
+        ),
     )
-    mean_t = (m + 1) / F.lit(2.0)
-    spread = m * (m * m - 1) / F.lit(12.0)
-    slope = F.coalesce(F.try_divide(moment - mean_t * total, spread), F.lit(0.0))
-    return total / m - slope * mean_t, slope
+    return F.transform(
+        F.array(sums),
+        lambda s: F.struct(
+            (s["mean"] - s["slope"] * (m + 1) / 2).alias("level"), s["slope"].alias("trend")
+        ),
+    )[0]
 
 
-def holt_fit(y: Column, alpha: Column, beta: Column) -> Column:
-    """Additive-trend smoothing at given parameters: struct of sse, level, trend."""
-    level, slope = holt_state(y)
-    start = F.struct(
-        F.lit(0.0).alias("sse"), level.alias("level"), slope.alias("trend")
-    )
+def holt_fit(y: Column, start: Column, alpha: Column, beta: Column) -> Column:
+    """Additive-trend smoothing at given parameters, from :func:`holt_start`.
 
-    def step(state: Column, value: Column) -> Column:
-        error = value - state["level"] - state["trend"]
+    Struct of sse, alpha, beta, level, trend; the parameters ride along so that the least
+    of several such structs is the best fit.
+    """
+
+    def state(sse: Column, a: Column, b: Column, level: Column, trend: Column) -> Column:
         return F.struct(
-            (state["sse"] + error * error).alias("sse"),
-            (state["level"] + state["trend"] + alpha * error).alias("level"),
-            (state["trend"] + alpha * beta * error).alias("trend"),
+            sse.alias("sse"),
+            a.alias("alpha"),
+            b.alias("beta"),
+            level.alias("level"),
+            trend.alias("trend"),
+        )
+
+    def step(s: Column, value: Column) -> Column:
+        error = value - s["level"] - s["trend"]
+        return state(
+            s["sse"] + error * error,
+            s["alpha"],
+            s["beta"],
+            s["level"] + s["trend"] + s["alpha"] * error,
+            s["trend"] + s["alpha"] * s["beta"] * error,
         )
 
-    return F.aggregate(y, start, step)
+    return F.aggregate(y, state(F.lit(0.0), alpha, beta, start["level"], start["trend"]), step)
 
 
-def line_ahead(state: Column, horizon: int) -> Column:
-    return F.transform(_steps(horizon), lambda h: state["level"] + h * state["trend"])
+def line_ahead(fit: Column, horizon: int) -> Column:
+    return F.transform(_steps(horizon), lambda h: fit["level"] + h * fit["trend"])
 
 
 HOLT_ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
@@ -96,14 +123,12 @@ HOLT_BETAS = (0.0, 0.05, 0.1, 0.2, 0.4)
 
 def holt(
     y: Column,
-    horizon: int,
+    start: Column,
     alphas: tuple[float, ...] = HOLT_ALPHAS,
     betas: tuple[float, ...] = HOLT_BETAS,
 ) -> Column:
-    """Additive-trend smoothing with the least squared error over a parameter grid.
-
-    Ties go to the smaller alpha, then beta.
-    """
+    """The fit with the least squared error over a parameter grid; ties go to the smaller
+    alpha, then beta."""
     grid = F.array(
         *[
             F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"))
@@ -111,19 +136,7 @@ def holt(
             for b in betas
         ]
     )
-
-    def fitted(p: Column) -> Column:
-        state = holt_fit(y, p["alpha"], p["beta"])
-        return F.struct(
-            state["sse"].alias("sse"),
-            p["alpha"].alias("alpha"),
-            p["beta"].alias("beta"),
-            state["level"].alias("level"),
-            state["trend"].alias("trend"),
-        )
-
-    best = F.array_min(F.transform(grid, fitted))
-    return line_ahead(best, horizon)
+    return F.array_min(F.transform(grid, lambda p: holt_fit(y, start, p["alpha"], p["beta"])))
 
 
 def calendar_naive(panel: DataFrame) -> DataFrame:
@@ -139,11 +152,3 @@ def calendar_naive(panel: DataFrame) -> DataFrame:
     return panel.select(
         "item", "week", F.col("target").alias("y"), F.max("target").over(year_ago).alias("y_hat")
     ).where("y_hat is not null")
-
-
-def concat_models(columns: dict[str, Column]) -> Column:
-    """Array of ``(model, y_hat array)`` structs from named forecast columns."""
-    return F.array(
-        *[F.struct(F.lit(m).alias("model"), c.alias("yhat")) for m, c in columns.items()]
-    )
-

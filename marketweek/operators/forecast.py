@@ -9,11 +9,13 @@ from marketweek.functions.metrics import window_metrics
 from marketweek.functions.scalar import all_finite, clip_low
 from marketweek.functions.smoothing import holt_winters
 from marketweek.operators.baselines import (
-    concat_models,
     holt,
+    holt_start,
+    line_ahead,
     rolling_mean,
     seasonal_naive,
     week_mean,
+    week_pairs,
 )
 from marketweek.operators.folds import folds, series
 from marketweek.params import ForecastParams
@@ -31,6 +33,7 @@ ALL_MODELS = (SEASONAL_NAIVE, WEEK_MEAN, ROLL_MEAN, HW_ADD, HW_MUL)
 RANKED_COLUMNS = 3
 # end of fixed values
 
+FOLD_KEYS = ("item", "fold", "train_n", "target_weeks", "actual")
 METRICS = ("rmse", "mae", "mape", "smape")
 
 
@@ -43,45 +46,55 @@ def with_model_columns(
     params: ForecastParams = ForecastParams(),
     models: tuple[str, ...] = ALL_MODELS,
 ) -> DataFrame:
-    """Replace the training arrays by ``forecasts``: one ``(model, yhat)`` struct per model.
+    """Replace the training arrays by one forecast array per model, named after it.
 
     Seasonal smoothing needs two seasons; shorter histories use the trend-only form, and a
     failed fit falls back to the last season, or to the rolling mean below one season.
+    Intermediate results that several models use are columns of their own, so that they are
+    evaluated once per series.
     """
     y, n, h = F.col("y"), F.col("train_n"), params.horizon
-    naive = seasonal_naive(y, h, params.period)
-    rolled = rolling_mean(y, h, params.window)
-    columns: dict[str, Column] = {
-        SEASONAL_NAIVE: naive,
-        WEEK_MEAN: week_mean(F.col("weeks"), y, F.col("target_weeks")),
-        ROLL_MEAN: rolled,
-    }
+    seasonal = HW_ADD in models or HW_MUL in models
     rows = fold_rows
-    if HW_ADD in models or HW_MUL in models:
+    if seasonal:
         # Few rows, much arithmetic per row: give every task its share.
         rows = spread(rows, "item", "fold")
-        seasonal = F.when(n >= 2 * params.period, y)
-        rows = rows.withColumn("_hw", holt_winters(seasonal, h, params.period))
-        trend_only = F.when(n < 2 * params.period, holt(y, h))
-        fallback = F.when(n >= params.period, naive).otherwise(rolled)
-        columns[HW_ADD] = F.coalesce(trend_only, F.col("_hw.hw_add"), fallback)
-        columns[HW_MUL] = F.coalesce(trend_only, F.col("_hw.hw_mul"), fallback)
-    chosen = {model_name(m, params): columns[m] for m in models}
+        two_seasons = n >= 2 * params.period
+        rows = rows.withColumns(
+            {
+                "_hw": holt_winters(F.when(two_seasons, y), h, params.period),
+                "_start": F.when(~two_seasons, holt_start(y)),
+            }
+        ).withColumn("_fit", F.when(~two_seasons, holt(y, F.col("_start"))))
+    shared = {
+        "_pairs": week_pairs(F.col("weeks"), y),
+        "_naive": seasonal_naive(y, h, params.period),
+        "_rolled": rolling_mean(y, h, params.window),
+    }
+    rows = rows.withColumns(shared)
+    fallback = F.when(n >= params.period, F.col("_naive")).otherwise(F.col("_rolled"))
+
+    def smoothed(name: str) -> Column:
+        trend_only = F.when(n < 2 * params.period, line_ahead(F.col("_fit"), h))
+        return F.coalesce(trend_only, F.col(f"_hw.{name}"), fallback)
+
+    columns = {
+        SEASONAL_NAIVE: lambda: F.col("_naive"),
+        WEEK_MEAN: lambda: week_mean(F.col("_pairs"), F.col("target_weeks")),
+        ROLL_MEAN: lambda: F.col("_rolled"),
+        HW_ADD: lambda: smoothed("hw_add"),
+        HW_MUL: lambda: smoothed("hw_mul"),
+    }
     return rows.select(
-        "item",
-        "fold",
-        "train_n",
-        "target_weeks",
-        "actual",
-        concat_models(chosen).alias("forecasts"),
+        *FOLD_KEYS, *[columns[m]().alias(model_name(m, params)) for m in models]
     )
 
 
 def by_model(forecast_rows: DataFrame) -> DataFrame:
     """One row per item, fold and model, still with arrays over the horizon."""
-    return forecast_rows.select(
-        "item", "fold", "train_n", "target_weeks", "actual", F.inline("forecasts")
-    )
+    models = [c for c in forecast_rows.columns if c not in FOLD_KEYS]
+    keys = [F.col(c) for c in FOLD_KEYS]
+    return forecast_rows.unpivot(keys, [F.col(f"`{m}`") for m in models], "model", "yhat")
 
 
 def model_rows(
@@ -154,9 +167,14 @@ def leaderboard_wide(board: DataFrame, ranks: int = RANKED_COLUMNS) -> DataFrame
 
 
 def emitted(rows: DataFrame, params: ForecastParams) -> DataFrame:
-    """Array forecasts to one row per item and week, clipped."""
+    """Array forecasts to one row per item and week, clipped.
+
+    Horizon arrays are never empty. The outer form of the generator is used throughout:
+    for the inner one Spark adds a filter on the array's size, which would evaluate the
+    forecasts a second time.
+    """
     steps = F.arrays_zip(F.col("target_weeks").alias("week"), F.col("yhat").alias("y"))
-    return rows.select("item", "model", F.inline(steps)).select(
+    return rows.select("item", "model", F.inline_outer(steps)).select(
         "item",
         F.col("week").alias("forecast_week_start"),
         F.col("model").alias("model_used"),
@@ -205,16 +223,12 @@ def forecast_priority(
     return emitted(picked, params)
 
 
-def forecast_details(
-    forecast_rows: DataFrame, params: ForecastParams, models: tuple[str, ...] = ALL_MODELS
-) -> DataFrame:
+def forecast_details(forecast_rows: DataFrame) -> DataFrame:
     """Unclipped forecasts, one row per item and week, one column per model."""
-    live = forecast_rows.where("fold = 0")
-    arrays = [
-        F.col("forecasts")[i]["yhat"].alias(model_name(m, params)) for i, m in enumerate(models)
-    ]
-    steps = F.arrays_zip(F.col("target_weeks").alias("forecast_week_start"), *arrays)
-    return live.select("item", F.inline(steps))
+    models = [c for c in forecast_rows.columns if c not in FOLD_KEYS]
+    weeks = F.col("target_weeks").alias("forecast_week_start")
+    steps = F.arrays_zip(weeks, *[F.col(f"`{m}`").alias(m) for m in models])
+    return forecast_rows.where("fold = 0").select("item", F.inline_outer(steps))
 
 
 def last_fold_details(rows: DataFrame) -> DataFrame:
@@ -225,7 +239,7 @@ def last_fold_details(rows: DataFrame) -> DataFrame:
         F.col("yhat").alias("y_hat"),
     )
     return rows.where("fold = 1").select(
-        "item", F.col("train_n").alias("fold_end_idx"), "model", F.inline(steps)
+        "item", F.col("train_n").alias("fold_end_idx"), "model", F.inline_outer(steps)
     ).select("item", "fold_end_idx", "week", "model", "y_true", "y_hat")
 
 

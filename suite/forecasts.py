@@ -12,10 +12,12 @@ from marketweek.operators.baselines import (
     calendar_naive,
     holt,
     holt_fit,
+    holt_start,
     line_ahead,
     rolling_mean,
     seasonal_naive,
     week_mean,
+    week_pairs,
 )
 from marketweek.operators.folds import folds, series
 from marketweek.operators.forecast import CLOSED_FORM
@@ -27,6 +29,7 @@ from marketweek.operators.substitutes import (
     substitutes as substitutes_of,
 )
 from marketweek.params import ForecastParams, SubstituteParams
+from marketweek.session import spread
 from suite import sql
 from suite.adapters import item_groups, panel, r4, rounded, weekly
 from suite.registry import query
@@ -46,7 +49,7 @@ def closed_rows(spark, sf) -> DataFrame:
 def steps(rows: DataFrame, value) -> DataFrame:
     """Arrays over the horizon to rows."""
     zipped = F.arrays_zip(F.col("target_weeks").alias("week"), value.alias("y_hat"))
-    return rounded(rows.select("item", "fold", F.inline(zipped)), "y_hat")
+    return rounded(rows.select("item", "fold", F.inline_outer(zipped)), "y_hat")
 
 
 @query(f"""WITH {sql.FOLDS} SELECT item, week FROM horizon WHERE fold = 0""")
@@ -79,7 +82,8 @@ def snaive_pos(spark, sf):
 @query(_model_sql("WeekMean"))
 def weekmean(spark, sf):
     rows = folds(series(panel(spark, sf)), P)
-    return steps(rows, week_mean(F.col("weeks"), F.col("y"), F.col("target_weeks")))
+    rows = rows.withColumn("pairs", week_pairs(F.col("weeks"), F.col("y")))
+    return steps(rows, week_mean(F.col("pairs"), F.col("target_weeks")))
 
 
 @query(_model_sql("RollMean(8w)"))
@@ -116,7 +120,8 @@ def _holt_sql(points: str, tail: str) -> str:
 ))
 def holt_fixed(spark, sf):
     rows = series(panel(spark, sf)).where("n > 1")
-    fit = rows.withColumn("s", holt_fit(F.col("y"), F.lit(0.3), F.lit(0.1)))
+    rows = rows.withColumn("start", holt_start(F.col("y")))
+    fit = rows.withColumn("s", holt_fit(F.col("y"), F.col("start"), F.lit(0.3), F.lit(0.1)))
     return fit.select("item", "n", r4(F.col("s.sse") / F.col("n")).alias("mse"),
                       r4("s.level").alias("level"), r4("s.trend").alias("trend"))
 
@@ -134,8 +139,10 @@ _GRID = """SELECT a AS alpha, b AS beta
     FROM best CROSS JOIN range(1, 5) AS g(h) WHERE r = 1""",
 ))
 def holt_forecast(spark, sf):
-    rows = series(panel(spark, sf)).where("n > 1")
-    ahead = rows.select("item", F.posexplode(holt(F.col("y"), P.horizon)).alias("pos", "y"))
+    rows = spread(series(panel(spark, sf)).where("n > 1"), "item")
+    rows = rows.withColumn("start", holt_start(F.col("y")))
+    fit = rows.withColumn("fit", holt(F.col("y"), F.col("start")))
+    ahead = fit.select("item", F.posexplode_outer(line_ahead(F.col("fit"), P.horizon)).alias("pos", "y"))
     return ahead.select("item", (F.col("pos") + 1).alias("h"), r4("y").alias("y_hat"))
 
 
@@ -173,7 +180,7 @@ def _seasonal_sql(multiplicative: bool, points: str) -> str:
       SELECT item, alpha, beta, gamma, n, rn, sse + e * e, base + {gain}, trend + beta * {gain},
              list_append(season[2:], {season})
       FROM (
-        SELECT *, target - {forecast_} AS e FROM (
+        SELECT *, target - ({forecast_}) AS e FROM (
           SELECT w.*, s.target, w.level + w.trend AS base, w.season[1] AS s1 FROM (
             SELECT item, alpha, beta, gamma, n, rn + 1 AS rn, sse, level, trend, season FROM walk WHERE rn < n
           ) w JOIN ser s ON s.item = w.item AND s.rn = w.rn
@@ -187,11 +194,9 @@ def _seasonal_sql(multiplicative: bool, points: str) -> str:
 
 
 def _seasonal(spark, sf, column: str, grid) -> DataFrame:
-    from marketweek.session import spread
-
     rows = spread(series(panel(spark, sf)).where(F.col("n") >= 2 * P.period), "item")
     fit = holt_winters(F.col("y"), P.horizon, P.period, grid, refinements=0)
-    ahead = rows.withColumn("f", fit).select("item", F.posexplode(f"f.{column}").alias("pos", "y"))
+    ahead = rows.withColumn("f", fit).select("item", F.posexplode_outer(f"f.{column}").alias("pos", "y"))
     return ahead.select("item", (F.col("pos") + 1).alias("h"), r4("y").alias("y_hat"))
 
 
@@ -279,7 +284,7 @@ def forecast_priority(spark, sf):
   FROM preds WHERE fold = 0 GROUP BY 1, 2""")
 def forecast_details_wide(spark, sf):
     rows = forecast.with_model_columns(folds(series(panel(spark, sf)), P), P, CLOSED_FORM)
-    wide = forecast.forecast_details(rows, P, CLOSED_FORM)
+    wide = forecast.forecast_details(rows)
     return wide.select("item", "forecast_week_start", *[r4(f"`{m}`").alias(m) for m in wide.columns[2:]])
 
 
