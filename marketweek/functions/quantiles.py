@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketweek.functions.skew import salted_join
+
 ACCURACY = 10_000
 MARGIN = 8 / ACCURACY
 
@@ -58,11 +60,12 @@ def grouped_quantiles(
     )
 
     zone = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") > F.col("_hi"), 2).otherwise(1)
+    # Ties combine before the join; the distinct values of a hot group then spread evenly.
+    counted = long.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     folded = (
-        long.drop("_p")
-        .join(bounds, by)
+        salted_join(counted, bounds, by, ["_v"])
         .groupBy(*by, zone.alias("_zone"), F.when(zone == 1, F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"), F.first("_pos").alias("_pos"))
+        .agg(F.sum("_c").alias("_c"), F.first("_pos").alias("_pos"))
     )
     order = Window.partitionBy(*by).orderBy("_zone", "_v")
     ranked = folded.withColumn(

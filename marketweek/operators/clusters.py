@@ -23,8 +23,11 @@ def cluster_mix(assigned: DataFrame, categories: list[str] | None = None) -> Dat
 
 
 def known_ingredients(assigned: DataFrame, names: DataFrame) -> DataFrame:
-    """Clustered ingredients that occur in the name list."""
-    return assigned.join(names, "item", "left_semi")
+    """Clustered ingredients that occur in the name list.
+
+    Repeated names collapse before the join, inside the scan tasks first.
+    """
+    return assigned.join(names.select("item").distinct(), "item", "left_semi")
 
 
 def cluster_pipeline(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marketweek.functions.metrics import log_rmse, prediction_metrics
 from marketweek.operators.evaluation import between, until
 from marketweek.params import FeatureParams, GbmParams
-from marketweek.session import ensure_checkpoint_dir
+from marketweek.session import ensure_checkpoint_dir, materialise, spread
 
 LABEL = "next_week_log_price"
 SHORT_LAG = 12
@@ -72,6 +72,18 @@ def prepare(
     return impute(drop_warm_up(table, features), features, extra)
 
 
+def training_table(
+    table: DataFrame, features: FeatureParams = FeatureParams(), extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """Prepared rows, stored once and spread evenly.
+
+    Training passes over the rows once per tree level, so they are cut from their lineage,
+    and every task gets a share in a fixed order, on which the seeded row sample depends.
+    """
+    even = spread(prepare(table, features, extra), "item", "week")
+    return materialise(even.sortWithinPartitions("item", "week"))
+
+
 @dataclass(frozen=True)
 class GlobalModel:
     """A fitted model with the item encoding it was trained with."""
@@ -185,7 +197,7 @@ def yearly_cv(
 ) -> DataFrame:
     """Expanding yearly folds: train through year Y, validate on year Y + 1.
 
-    ``prepared`` feeds every fold; materialise it first. Each fold is its own Spark ML fit.
+    ``prepared`` feeds every fold, see :func:`training_table`. Each fold is its own Spark ML fit.
     """
     parts = None
     for year in range(first_train_year, first_train_year + folds):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweek.functions.quantiles import grouped_quantiles
+from marketweek.functions.skew import salted_join
 from marketweek.operators.features import recent_supply, volatility_columns, with_price_change
 from marketweek.params import SUPPLY_WEEKS, SubstituteParams
 
@@ -66,7 +67,7 @@ def shortlist(grouped: DataFrame, thresholds: DataFrame, params: SubstituteParam
     The rank limit is applied inside each task before the exchange, so a hot group ships a
     handful of rows per task.
     """
-    eligible = grouped.join(thresholds, "grp").where(
+    eligible = salted_join(grouped, thresholds, ["grp"], ["item"]).where(
         (F.col(f"qty_rollmean{SUPPLY_WEEKS}") >= F.col("supply_median"))
         & (F.col("price_vol_8") <= F.col("vol_q3"))
         & F.col("pred_price").isNotNull()
@@ -103,8 +104,7 @@ def substitutes(
         & (saving(c) >= params.price_discount_threshold),
     )
     return (
-        grouped.where(own > 0)
-        .join(lists, "grp")
+        salted_join(grouped.where(own > 0), lists, ["grp"], ["item"])
         .select(
             "grp",
             "item",

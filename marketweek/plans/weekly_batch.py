@@ -95,7 +95,7 @@ def train_and_recommend(
     feature_params: FeatureParams = FeatureParams(),
 ) -> DataFrame:
     """Global model with holdout reports, next week's prices, and substitutes."""
-    prepared = materialise(gbm.prepare(features, feature_params, model_params.extra_features))
+    prepared = gbm.training_table(features, feature_params, model_params.extra_features)
     model = gbm.fit(evaluation.until(prepared, train_until), model_params, feature_params)
     held = materialise(
         gbm.validation_predictions(model, evaluation.between(prepared, *validate))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweek.operators.weekly import target_panel, weekly_agg
+from marketweek.session import materialise
 
 # The second words of the part names, as the wide file's column names.
 GROUPS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
@@ -46,6 +47,12 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     return weekly_agg(transactions(spark, sf), decimals=CENTS)
 
 
+def stored_weekly(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly aggregate as a stage table, for plans that read it several times: the
+    transactions are then scanned once."""
+    return materialise(weekly(spark, sf))
+
+
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     return target_panel(weekly(spark, sf))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweek.functions.scalar import is_finite
@@ -29,9 +29,10 @@ from marketweek.operators.substitutes import (
     substitutes as substitutes_of,
 )
 from marketweek.params import ForecastParams, SubstituteParams
-from marketweek.session import spread
+from marketweek.operators.weekly import target_panel
+from marketweek.session import materialise, spread
 from suite import sql
-from suite.adapters import item_groups, panel, r4, rounded, weekly
+from suite.adapters import item_groups, panel, r4, rounded, stored_weekly
 from suite.registry import query
 
 P = ForecastParams()
@@ -351,16 +352,14 @@ def _measures(table: str) -> str:
       FROM {table} GROUP BY GROUPING SETS ((item), ())"""
 
 
-def naive_validation(spark, sf) -> DataFrame:
-    return evaluation.between(calendar_naive(panel(spark, sf)), *VALIDATION)
+def naive_validation(base: DataFrame) -> DataFrame:
+    return evaluation.between(calendar_naive(base), *VALIDATION)
 
 
-def rolled_validation(spark, sf) -> DataFrame:
+def rolled_validation(base: DataFrame) -> DataFrame:
     """One step ahead by the mean of the eight weeks before."""
-    from pyspark.sql import Window
-
     past = Window.partitionBy("item").orderBy("week").rowsBetween(-P.window, -1)
-    rows = panel(spark, sf).select(
+    rows = base.select(
         "item", "week", F.col("target").alias("y"), F.avg("target").over(past).alias("y_hat")
     )
     return evaluation.between(rows.where("y_hat is not null"), *VALIDATION)
@@ -369,7 +368,7 @@ def rolled_validation(spark, sf) -> DataFrame:
 @query(f"""WITH {sql.SERIES}, {_NAIVE}, m AS ({_measures('naive')})
   SELECT item, {sql.r4('wape')}, {sql.r4('smape')}, {sql.r4('mae')}, n, is_total FROM m""")
 def val_metrics_gs(spark, sf):
-    metrics = evaluation.metrics_overall_and_by_item(naive_validation(spark, sf))
+    metrics = evaluation.metrics_overall_and_by_item(naive_validation(panel(spark, sf)))
     return rounded(metrics, "wape", "smape", "mae")
 
 
@@ -379,8 +378,9 @@ def val_metrics_gs(spark, sf):
     for c in evaluation.COMPARED
 ) + """ FROM m JOIN b ON m.is_total = b.is_total AND m.item IS NOT DISTINCT FROM b.item""")
 def improvement(spark, sf):
-    model = evaluation.metrics_overall_and_by_item(rolled_validation(spark, sf))
-    base = evaluation.metrics_overall_and_by_item(naive_validation(spark, sf))
+    targets = target_panel(stored_weekly(spark, sf))
+    model = evaluation.metrics_overall_and_by_item(rolled_validation(targets))
+    base = evaluation.metrics_overall_and_by_item(naive_validation(targets))
     gains = evaluation.improvement(model, base)
     return rounded(gains, *[f"{c}_{k}" for c in evaluation.COMPARED for k in ("model", "base", "gain")])
 
@@ -389,16 +389,16 @@ def improvement(spark, sf):
   (SELECT item, {sql.r4('wape')}, 'best' AS side FROM m ORDER BY m.wape, item LIMIT 5) UNION ALL
   (SELECT item, {sql.r4('wape')}, 'worst' AS side FROM m ORDER BY m.wape DESC, item LIMIT 5)""")
 def best_worst(spark, sf):
-    metrics = evaluation.metrics_overall_and_by_item(naive_validation(spark, sf))
-    return rounded(evaluation.best_and_worst(metrics), "wape")
+    metrics = evaluation.metrics_overall_and_by_item(naive_validation(panel(spark, sf)))
+    return rounded(evaluation.best_and_worst(materialise(metrics)), "wape")
 
 
 def recommendation_inputs(spark, sf) -> DataFrame:
     """Reference-week state with the rolling mean as next week's price."""
-    table = weekly(spark, sf)
-    rows = forecast.model_rows(panel(spark, sf), P, (forecast.ROLL_MEAN,)).where("fold = 0")
+    table = stored_weekly(spark, sf)
+    rows = forecast.model_rows(target_panel(table), P, (forecast.ROLL_MEAN,)).where("fold = 0")
     predictions = rows.select("item", F.col("yhat")[0].alias("pred_price"))
-    return grouped_state(item_state(table), predictions, item_groups(spark, sf))
+    return materialise(grouped_state(item_state(table), predictions, item_groups(spark, sf)))
 
 
 RULES = SubstituteParams(price_discount_threshold=THRESHOLD)
@@ -432,7 +432,7 @@ def substitutes(spark, sf):
   {sql.r4('100.0 * count(*) FILTER (accepted) / count(*)', 'acceptance_pct')} FROM suggestions""")
 def substitute_kpis(spark, sf):
     grouped = recommendation_inputs(spark, sf)
-    found = substitutes_of(grouped, RULES)
+    found = materialise(substitutes_of(grouped, RULES))
     # Stand-in for user feedback: accepted if the substitute is cheaper already this week.
     price = grouped.select("item", "unit_price_week")
     feedback = (

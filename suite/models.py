@@ -10,8 +10,7 @@ from marketweek.operators.features import weekly_features
 from marketweek.operators.substitutes import grouped_state, item_state, substitutes
 from marketweek.operators.weekly import join_weather, weather_weekly
 from marketweek.params import GbmParams
-from marketweek.session import materialise
-from suite.adapters import item_groups, weather_daily, weekly
+from suite.adapters import item_groups, panel, stored_weekly, weather_daily, weekly
 from suite.forecasts import RULES, VALIDATION, naive_validation
 from suite.registry import query
 
@@ -24,7 +23,7 @@ def prepared(spark, sf) -> DataFrame:
     """Feature rows, stored once: training reads them many times."""
     table = weekly_features(weekly(spark, sf))
     table = join_weather(table, weather_weekly(weather_daily(spark, sf)))
-    return materialise(gbm.prepare(table, extra=WEATHER))
+    return gbm.training_table(table, extra=WEATHER)
 
 
 def trained(spark, sf) -> tuple[gbm.GlobalModel, DataFrame]:
@@ -44,7 +43,7 @@ def gbm_improvement(spark, sf):
     held = gbm.validation_predictions(model, evaluation.between(rows, *VALIDATION))
     return evaluation.improvement(
         evaluation.metrics_overall_and_by_item(held),
-        evaluation.metrics_overall_and_by_item(naive_validation(spark, sf)),
+        evaluation.metrics_overall_and_by_item(naive_validation(panel(spark, sf))),
     )
 
 
@@ -61,7 +60,7 @@ def gbm_cv(spark, sf):
 @query(None)
 def gbm_substitutes(spark, sf):
     model, rows = trained(spark, sf)
-    table = weekly(spark, sf)
+    table = stored_weekly(spark, sf)
     latest = table.select(F.max("week")).scalar()
     next_week = gbm.score_next_week(model, rows, latest)
     return substitutes(grouped_state(item_state(table), next_week, item_groups(spark, sf)), RULES)

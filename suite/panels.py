@@ -12,7 +12,7 @@ from marketweek.functions.scalar import (
     positive_or_null,
     week_of,
 )
-from marketweek.operators import clusters, features, profile, weekly, wide
+from marketweek.operators import clusters, evaluation, features, profile, weekly, wide
 from marketweek.operators.baselines import calendar_naive
 from marketweek.params import FeatureParams
 from suite import sql
@@ -23,6 +23,7 @@ from suite.adapters import (
     r4,
     rounded,
     second_word,
+    stored_weekly,
     table,
     transactions,
     wide_prices,
@@ -147,7 +148,7 @@ def top_items(spark, sf):
     {sql.r4('count(qty_in_week) / any_value(weeks_total)', 'coverage')}
   FROM weekly, total GROUP BY 1""")
 def coverage(spark, sf):
-    return rounded(profile.coverage(weekly_table(spark, sf)), "coverage")
+    return rounded(profile.coverage(stored_weekly(spark, sf)), "coverage")
 
 
 @query(f"""WITH {sql.WEEKLY},
@@ -156,7 +157,7 @@ def coverage(spark, sf):
   SELECT t.item, w.week, CAST(x.qty_in_week IS NOT NULL AS INTEGER) AS traded
   FROM top t CROSS JOIN weeks w LEFT JOIN weekly x ON x.item = t.item AND x.week = w.week""")
 def coverage_grid(spark, sf):
-    table_ = weekly_table(spark, sf)
+    table_ = stored_weekly(spark, sf)
     return profile.coverage_grid(table_, profile.top_items(table_, 40))
 
 
@@ -179,7 +180,7 @@ def price_box(spark, sf):
   FROM weekly w JOIN box USING (item) SEMI JOIN top USING (item)
   WHERE unit_price_week < q1 - 1.5 * (q3 - q1) OR unit_price_week > q3 + 1.5 * (q3 - q1)""")
 def price_outliers(spark, sf):
-    table_ = weekly_table(spark, sf)
+    table_ = stored_weekly(spark, sf)
     found = profile.price_outliers(profile.restrict(table_, profile.top_items(table_, 30)))
     return rounded(found.select("item", "week", "unit_price_week"), "unit_price_week")
 
@@ -388,9 +389,7 @@ def kmeans(spark, sf):
   FROM base a JOIN base b ON a.item = b.item AND a.week = b.week + 364
   WHERE a.week BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""")
 def snaive52_val(spark, sf):
-    from marketweek.operators.evaluation import between
-
-    held = between(calendar_naive(panel(spark, sf)), "2000-01-01", "2000-12-31")
+    held = evaluation.between(calendar_naive(panel(spark, sf)), "2000-01-01", "2000-12-31")
     return rounded(held, "y", "y_hat")
 
 
