@@ -30,7 +30,8 @@ def _total(column: str, decimals: int | None) -> Column:
     if decimals is None:
         return F.sum(column)
     unit = 10**decimals
-    return F.sum(F.round(F.col(column) * unit).cast("long")).cast("double") / F.lit(float(unit))
+    whole = F.floor(F.col(column) * unit + 0.5)
+    return F.sum(whole).cast("double") / F.lit(float(unit))
 
 
 def weekly_agg(transactions: DataFrame, decimals: int | None = None) -> DataFrame:

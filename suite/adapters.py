@@ -59,7 +59,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def weather_daily(spark: SparkSession, sf: str) -> DataFrame:
     """``date, precip, tmax``: a summed and an averaged variable per day."""
-    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / 100.0
+    cents = F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5)).cast("double") / 100.0
     return (
         table(spark, sf, "orders")
         .groupBy(F.col("o_orderdate").cast("date").alias("date"))
