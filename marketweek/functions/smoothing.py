@@ -19,6 +19,8 @@ BETAS = (0.0, 0.02, 0.1, 0.3)
 GAMMA_SHARES = (0.0, 0.1, 0.3, 0.6)
 """The seasonal weight is ``share * (1 - alpha)``, which keeps it in its valid range."""
 REFINEMENTS = 3
+REACH = (0.08, 0.05, 0.12)
+"""First step of the refinement in each parameter; every round halves it."""
 BLOCK = 16
 
 
@@ -89,7 +91,7 @@ def best_forecasts(block, period, horizon, multiplicative, grid, refinements):
         tried = np.repeat(grid[None], len(n), 0)
         best, least = tried[:, 0], np.full(len(n), np.inf)
         offsets = np.array(list(product((-1, 0, 1), repeat=3)))
-        reach = np.array([0.08, 0.05, 0.12])
+        reach = np.array(REACH)
         for depth in range(refinements + 1):
             sse, _ = smooth(y, n, tried, period, multiplicative)
             sse = np.where(np.isfinite(sse), sse, np.inf)

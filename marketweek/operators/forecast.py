@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweek.functions.metrics import window_metrics
-from marketweek.functions.scalar import all_finite, clip_low
+from marketweek.functions.scalar import all_finite, array_mean, clip_low
 from marketweek.functions.smoothing import holt_winters
 from marketweek.operators.baselines import (
     holt,
@@ -126,11 +126,20 @@ def scoreboard(rows: DataFrame) -> DataFrame:
     """
     metrics = window_metrics(F.col("actual"), F.col("yhat"))
     live = F.col("fold") == 0
+    scored = F.struct((-F.col("fold")).alias("k"), *[c.alias(m) for m, c in metrics.items()])
     board = rows.groupBy("item", "model").agg(
-        *[F.avg(F.when(~live, c)).alias(m) for m, c in metrics.items()],
-        F.count_if(~live).alias("n_folds"),
+        # At most one entry per fold. Averaging them oldest first, not in arrival order, keeps
+        # models with equal errors exactly equal, so that their tie is decided by name.
+        F.array_sort(F.collect_list(F.when(~live, scored))).alias("_folds"),
         F.max(F.when(live, F.struct("target_weeks", "yhat"))).alias("_live"),
     )
+    board = board.select(
+        "item",
+        "model",
+        *[array_mean(F.col(f"_folds.{m}")).alias(m) for m in METRICS],
+        F.size("_folds").cast("long").alias("n_folds"),
+        "_live",
+    )
     best_first = Window.partitionBy("item").orderBy(
         F.asc_nulls_last("smape"), F.asc_nulls_last("mae"), "model"
     )

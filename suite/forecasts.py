@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketweek.functions.scalar import is_finite
 from marketweek.functions.smoothing import holt_winters
 from marketweek.operators import evaluation, forecast
 from marketweek.operators.baselines import (
@@ -31,7 +30,7 @@ from marketweek.operators.substitutes import (
 from marketweek.params import ForecastParams, SubstituteParams
 from marketweek.operators.weekly import target_panel
 from marketweek.session import materialise, spread
-from suite import sql
+from suite import smoothing_sql, sql
 from suite.adapters import item_groups, panel, r4, rounded, stored_weekly
 from suite.registry import query
 
@@ -148,48 +147,17 @@ def holt_forecast(spark, sf):
 
 
 def _seasonal_sql(multiplicative: bool, points: str) -> str:
-    """Seasonal smoothing as a recursion over weeks with the last 52 seasons as a list."""
-    if multiplicative:
-        detach = "target / line"
-        centre = "list_transform(s, lambda x: x / list_avg(s))"
-        forecast_, gain, season = "base * s1", "alpha * e / s1", "s1 + gamma * e / base"
-        ahead = "(level + h * trend) * season[h]"
-    else:
-        detach = "target - line"
-        centre = "list_transform(s, lambda x: x - list_avg(s))"
-        forecast_, gain, season = "base + s1", "alpha * e", "s1 + gamma * e"
-        ahead = "level + h * trend + season[h]"
-    return f"""WITH RECURSIVE {sql.SERIES}, points AS ({points}),
-    means AS (
-      SELECT item, max(n) AS n, avg(target) FILTER (rn <= 52) AS m1, avg(target) FILTER (rn > 52) AS m2
-      FROM ser WHERE rn <= 104 GROUP BY 1 HAVING max(n) >= 104
-    ),
-    lines AS (SELECT item, n, (m2 - m1) / 52 AS trend, m1 - (m2 - m1) / 52 * 53 / 2 AS level FROM means),
-    heads AS (
-      SELECT item, n, level, trend, (s.rn - 1) % 52 AS slot, avg({detach}) AS v FROM (
-        SELECT l.*, s.rn, s.target, l.level + l.trend * s.rn AS line
-        FROM lines l JOIN ser s USING (item) WHERE s.rn <= 104
-      ) s GROUP BY ALL
-    ),
-    raw AS (SELECT item, n, level, trend, list(v ORDER BY slot) AS s FROM heads GROUP BY ALL),
-    start AS (SELECT item, n, level, trend, {centre} AS season FROM raw),
-    walk AS (
-      SELECT item, alpha, beta, share * (1 - alpha) AS gamma, n, CAST(0 AS BIGINT) AS rn,
-             CAST(0 AS DOUBLE) AS sse, level, trend, season
-      FROM start CROSS JOIN points
-      UNION ALL
-      SELECT item, alpha, beta, gamma, n, rn, sse + e * e, base + {gain}, trend + beta * {gain},
-             list_append(season[2:], {season})
-      FROM (
-        SELECT *, target - ({forecast_}) AS e FROM (
-          SELECT w.*, s.target, w.level + w.trend AS base, w.season[1] AS s1 FROM (
-            SELECT item, alpha, beta, gamma, n, rn + 1 AS rn, sse, level, trend, season FROM walk WHERE rn < n
-          ) w JOIN ser s ON s.item = w.item AND s.rn = w.rn
-        )
-      )
-    ),
+    """The best of a small grid on every whole series of at least two seasons."""
+    name = "hwmul" if multiplicative else "hwadd"
+    ahead = "(level + h * trend) * season[h]" if multiplicative else "level + h * trend + season[h]"
+    start = smoothing_sql.start_states(multiplicative, name)
+    grid = f"SELECT item, fold, alpha, beta, share FROM {name}_start CROSS JOIN ({points})"
+    return f"""WITH RECURSIVE {sql.SERIES},
+    train AS (SELECT item, 0 AS fold, n AS train_n, rn, target FROM ser),
+    {start}, {smoothing_sql.walk(multiplicative, name, grid, 0)},
     best AS (
-      SELECT *, row_number() OVER (PARTITION BY item ORDER BY sse) AS r FROM walk WHERE rn = n)
+      SELECT *, row_number() OVER (PARTITION BY item ORDER BY sse) AS r
+      FROM {name}_walk0 WHERE rn = train_n)
     SELECT item, CAST(h AS INTEGER) AS h, {sql.r4(ahead, 'y_hat')}
     FROM best CROSS JOIN range(1, 5) AS g(h) WHERE r = 1"""
 
@@ -202,9 +170,7 @@ def _seasonal(spark, sf, column: str, grid) -> DataFrame:
 
 
 _POINTS = [(a, b, g) for a in (0.05, 0.2, 0.5) for b in (0.0, 0.1) for g in (0.0, 0.2)]
-_POINTS_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"({a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)" for a, b, g in _POINTS
-) + ") AS t(alpha, beta, share)"
+_POINTS_SQL = smoothing_sql.values(_POINTS, "alpha, beta, share")
 
 
 @query(_seasonal_sql(False, _POINTS_SQL))
@@ -307,29 +273,37 @@ def result_shapes(spark, sf):
     )
 
 
-# With the seasonal models: rows only, since their fitted parameters come from a search.
+# All five models, with the parameter search of the smoothing models written as recursion.
 
+_EVERY = smoothing_sql.all_models()
+_ALL_SCORES = smoothing_sql.all_scores()
 
-@query(None)
+
+@query(f"""WITH {_EVERY} SELECT item, fold, week, model, {sql.r4('yhat', 'y_hat')} FROM every
+  WHERE model LIKE 'HW-%'""")
 def hw_forecast(spark, sf):
     rows = forecast.model_rows(panel(spark, sf), P, (forecast.HW_ADD, forecast.HW_MUL))
-    return forecast.emitted(rows.where("fold = 0"), P)
+    zipped = F.arrays_zip(F.col("target_weeks").alias("week"), F.col("yhat").alias("y_hat"))
+    return rounded(rows.select("item", "fold", "model", F.inline_outer(zipped)), "y_hat")
 
 
-@query(None)
+@query(_wide_sql().replace(sql.SCORES, _ALL_SCORES))
 def leaderboard_all_models(spark, sf):
-    return forecast.leaderboard_wide(forecast.scoreboard(forecast.model_rows(panel(spark, sf), P)))
+    wide = forecast.leaderboard_wide(forecast.scoreboard(forecast.model_rows(panel(spark, sf), P)))
+    return rounded(wide, *[f"rank{r}_{m}" for r in (1, 2, 3) for m in METRICS])
 
 
-@query(None)
+@query(f"""WITH {_ALL_SCORES} SELECT p.item, p.week AS forecast_week_start, p.model AS model_used,
+  {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM every p JOIN board b
+  ON b.item = p.item AND b.model = p.model AND b.rank = 1 WHERE p.fold = 0""")
 def forecast_all_models(spark, sf):
-    return forecast.forecast_all(panel(spark, sf), P)
+    return rounded(forecast.forecast_all(panel(spark, sf), P), "y_hat")
 
 
-@query(None)
+@query(f"""WITH {_EVERY} SELECT item, week AS forecast_week_start, model AS model_used,
+  {sql.r4('greatest(yhat, 0)', 'y_hat')} FROM every WHERE fold = 0 AND model = 'HW-Mul'""")
 def forecast_priority_all_models(spark, sf):
-    chosen = forecast.forecast_all(panel(spark, sf), P, auto_selection=False)
-    return chosen.where(is_finite(F.col("y_hat")))
+    return rounded(forecast.forecast_all(panel(spark, sf), P, auto_selection=False), "y_hat")
 
 
 _NAIVE = """naive AS (

@@ -118,16 +118,17 @@ SCORES = (
     + """,
 fold_scores AS (
   SELECT item, fold, train_n, model,
-         sqrt(avg((actual - yhat) * (actual - yhat))) AS rmse,
-         avg(abs(actual - yhat)) AS mae,
-         avg(abs((actual - yhat) / greatest(actual, 1e-9))) * 100 AS mape,
-         avg(2 * abs(actual - yhat) / (abs(actual) + abs(yhat) + 1e-9)) * 100 AS smape
+         sqrt(avg((actual - yhat) * (actual - yhat) ORDER BY h)) AS rmse,
+         avg(abs(actual - yhat) ORDER BY h) AS mae,
+         avg(abs((actual - yhat) / greatest(actual, 1e-9)) ORDER BY h) * 100 AS mape,
+         avg(2 * abs(actual - yhat) / (abs(actual) + abs(yhat) + 1e-9) ORDER BY h) * 100 AS smape
   FROM preds WHERE fold > 0 GROUP BY 1, 2, 3, 4
 ),
 board AS (
   SELECT *, row_number() OVER (PARTITION BY item ORDER BY smape, mae, model) AS rank FROM (
-    SELECT item, model, avg(rmse) AS rmse, avg(mae) AS mae, avg(mape) AS mape,
-           avg(smape) AS smape, count(*) AS n_folds
+    SELECT item, model, avg(rmse ORDER BY fold DESC) AS rmse, avg(mae ORDER BY fold DESC) AS mae,
+           avg(mape ORDER BY fold DESC) AS mape, avg(smape ORDER BY fold DESC) AS smape,
+           count(*) AS n_folds
     FROM fold_scores GROUP BY 1, 2
   )
 )"""
