@@ -10,6 +10,11 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+def preview(df: DataFrame, order: list[str], n: int = 20) -> DataFrame:
+    """The first rows of a result in its report order."""
+    return df.orderBy(*order).limit(n)
+
+
 def top_items(weekly: DataFrame, n: int) -> DataFrame:
     """Items with the largest total amount; names break ties."""
     return (

@@ -101,7 +101,7 @@ def train_and_recommend(
         gbm.validation_predictions(model, evaluation.between(prepared, *validate))
     )
     metrics = evaluation.metrics_overall_and_by_item(held)
-    naive = evaluation.between(calendar_naive(target_panel(weekly)), *validate)
+    naive = materialise(evaluation.between(calendar_naive(target_panel(weekly)), *validate))
     base = evaluation.metrics_overall_and_by_item(naive)
     write_report(held, f"{out}/val_predictions")
     write_report(metrics, f"{out}/val_metrics")
@@ -111,8 +111,9 @@ def train_and_recommend(
     write_report(model.importances(), f"{out}/importances")
     save_model(model.pipeline, f"{out}/model")
     latest = weekly.select(F.max("week")).scalar()
-    next_week = gbm.score_next_week(model, prepared, latest)
+    next_week = materialise(gbm.score_next_week(model, prepared, latest))
     write_report(next_week, f"{out}/next_week")
-    suggestions = substitutes(grouped_state(item_state(weekly), next_week, groups), rules)
+    state = materialise(grouped_state(item_state(weekly), next_week, groups))
+    suggestions = materialise(substitutes(state, rules))
     write_report(suggestions.orderBy("item", "rank"), f"{out}/suggestions")
     return suggestions

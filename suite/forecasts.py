@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweek.functions.smoothing import holt_winters
-from marketweek.operators import evaluation, forecast
+from marketweek.operators import evaluation, forecast, profile
 from marketweek.operators.baselines import (
     calendar_naive,
     holt,
@@ -218,6 +218,15 @@ def forecast_selected(spark, sf):
     return rounded(forecast.forecast_selected(board, P), "y_hat")
 
 
+@query(f"""WITH {sql.SCORES} SELECT p.item, p.week AS forecast_week_start, p.model AS model_used,
+  {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM preds p JOIN board b
+  ON b.item = p.item AND b.model = p.model AND b.rank = 1 WHERE p.fold = 0 ORDER BY 1, 2 LIMIT 20""")
+def forecast_preview(spark, sf):
+    board = forecast.scoreboard(closed_rows(spark, sf))
+    first = profile.preview(forecast.forecast_selected(board, P), ["item", "forecast_week_start"])
+    return rounded(first, "y_hat")
+
+
 @query(f"""WITH {sql.MODELS}, choice AS (
     SELECT item, CASE WHEN item LIKE 'hot %' THEN 'WeekMean' WHEN item LIKE 'large %' THEN 'Unheard' ELSE 'RollMean(8w)' END AS model
     FROM items)

@@ -1,4 +1,7 @@
-"""Queries on the global boosted-tree model. Rows only: training is iterative."""
+"""Queries on the global boosted-tree model.
+
+Training is iterative, so only its inputs have comparison SQL; the rest is rows only.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,8 @@ from marketweek.operators.features import weekly_features
 from marketweek.operators.substitutes import grouped_state, item_state, substitutes
 from marketweek.operators.weekly import join_weather, weather_weekly
 from marketweek.params import GbmParams
-from suite.adapters import item_groups, panel, stored_weekly, weather_daily, weekly
+from suite import sql
+from suite.adapters import item_groups, panel, rounded, stored_weekly, weather_daily, weekly
 from suite.forecasts import RULES, VALIDATION, naive_validation
 from suite.registry import query
 
@@ -19,16 +23,59 @@ WEATHER = ("precip", "tmax")
 PARAMS = GbmParams(rounds=20, extra_features=WEATHER)
 
 
+def feature_table(spark, sf) -> DataFrame:
+    table = weekly_features(weekly(spark, sf))
+    return join_weather(table, weather_weekly(weather_daily(spark, sf)))
+
+
 def prepared(spark, sf) -> DataFrame:
     """Feature rows, stored once: training reads them many times."""
-    table = weekly_features(weekly(spark, sf))
-    table = join_weather(table, weather_weekly(weather_daily(spark, sf)))
-    return gbm.training_table(table, extra=WEATHER)
+    return gbm.training_table(feature_table(spark, sf), extra=WEATHER)
+
+
+_FITTED: dict[tuple[str, str], tuple[gbm.GlobalModel, DataFrame]] = {}
 
 
 def trained(spark, sf) -> tuple[gbm.GlobalModel, DataFrame]:
-    rows = prepared(spark, sf)
-    return gbm.fit(evaluation.until(rows, TRAIN_UNTIL), PARAMS), rows
+    """The model of a session and a set of tables; queries that report on it share it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        rows = prepared(spark, sf)
+        _FITTED[key] = gbm.fit(evaluation.until(rows, TRAIN_UNTIL), PARAMS), rows
+    return _FITTED[key]
+
+
+def _inputs_sql() -> str:
+    """The warm-up policy on one look-back of every kind."""
+    lag = "lag(log_price, {0}) OVER o"
+    past = "(o ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)"
+    std = f"CASE WHEN count(log_qty) OVER {past} = 26 THEN stddev_samp(log_qty) OVER {past} END"
+    kinds = {
+        "log_price_lag12": "log_price_lag12",
+        "log_price_lag52": "coalesce(log_price_lag52, log_price)",
+        "log_qty_rollstd26": "coalesce(log_qty_rollstd26, 0)",
+        "log_price_yoy_gap": "coalesce(log_price - log_price_lag52, 0)",
+        "tmax": "coalesce(tmax, 0)",
+    }
+    return f"""WITH {sql.WEEKLY}, {sql.DAILY},
+      logs AS (SELECT *, ln(1 + unit_price_week) AS log_price, ln(1 + qty_in_week) AS log_qty FROM weekly),
+      looked AS (
+        SELECT item, week, log_price, {lag.format(12)} AS log_price_lag12, {lag.format(52)} AS log_price_lag52,
+               {std} AS log_qty_rollstd26, count(*) OVER (o ROWS UNBOUNDED PRECEDING) AS rn
+        FROM logs WINDOW o AS (PARTITION BY item ORDER BY week)
+      )
+      SELECT item, week, {', '.join(sql.r4(v, k) for k, v in kinds.items())},
+        CAST(rn <= 52 AS DOUBLE) AS is_missing, CAST(tmax IS NULL AS DOUBLE) AS is_missing_extra
+      FROM looked LEFT JOIN weather USING (week) WHERE rn > 12"""
+
+
+INPUT_KINDS = ("log_price_lag12", "log_price_lag52", "log_qty_rollstd26", "log_price_yoy_gap", "tmax")
+
+
+@query(_inputs_sql())
+def gbm_inputs(spark, sf):
+    rows = gbm.prepare(feature_table(spark, sf), extra=WEATHER)
+    return rounded(rows.select("item", "week", *INPUT_KINDS, "is_missing", "is_missing_extra"), *INPUT_KINDS)
 
 
 @query(None)
@@ -47,6 +94,19 @@ def gbm_improvement(spark, sf):
     )
 
 
+@query(None)
+def gbm_metrics(spark, sf):
+    model, rows = trained(spark, sf)
+    held = evaluation.between(rows, *VALIDATION)
+    return gbm.overall_metrics(gbm.validation_predictions(model, held))
+
+
+@query(None)
+def gbm_next_week(spark, sf):
+    model, rows = trained(spark, sf)
+    return gbm.score_next_week(model, rows, rows.select(F.max("week")).scalar())
+
+
 @query(None)
 def gbm_importance(spark, sf):
     return trained(spark, sf)[0].importances()
