@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from marketweek.functions.metrics import log_rmse, prediction_metrics
 from marketweek.operators.evaluation import between, until
 from marketweek.params import FeatureParams, GbmParams
-from marketweek.session import ensure_checkpoint_dir, materialise, spread
+from marketweek.session import ensure_checkpoint_dir, materialise
 
 LABEL = "next_week_log_price"
 SHORT_LAG = 12
@@ -81,9 +81,11 @@ def training_table(
     """Prepared rows, stored once and spread evenly.
 
     Training passes over the rows once per tree level, so they are cut from their lineage,
-    and every task gets a share in a fixed order, on which the seeded row sample depends.
+    and every task gets a share in a fixed order, on which the seeded row sample depends. The
+    number of shares is left to Spark, which goes by the size of the table: every level runs
+    one task per share, so idle ones would cost as much as the training itself.
     """
-    even = spread(prepare(table, features, extra), "item", "week")
+    even = prepare(table, features, extra).repartition("item", "week")
     return materialise(even.sortWithinPartitions("item", "week"))
 
 
