@@ -32,45 +32,59 @@ FALLBACK_ENCODING = "cp949"
 # end of fixed values
 
 
-def files_by_encoding(
+def group_files(
     spark: SparkSession, paths: Sequence[str], fallback: str = FALLBACK_ENCODING
-) -> dict[str, list[str]]:
-    """Sort files into UTF-8 (with or without a byte-order mark) and ``fallback``.
+) -> list[tuple[str, list[str]]]:
+    """Sort files into ``(encoding, files)`` groups with one header line each.
 
-    Every line of every file is tested by the executors; only one name per file comes
-    back, which is what the driver holds for the scan itself anyway.
+    Spark takes the columns of a CSV scan from one file, so files with other headers need a
+    scan of their own. A file is UTF-8 (with or without a byte-order mark) if all its lines
+    are, else it has the ``fallback`` encoding. The executors test every line; one short row
+    per file comes back, no more than the driver holds for the scan itself.
     """
-    lines = spark.read.text(list(paths))
-    verdict = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8")
+    lines = spark.read.text(list(paths)).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        # The first line of a file: the block at offset 0, and there the first row read.
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
     )
-    found: dict[str, list[str]] = {}
+    verdict = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.min_by(F.xxhash64("value"), "at").alias("header"),
+    )
+    found: dict[tuple[str, int], list[str]] = {}
     for row in verdict.orderBy("path").toLocalIterator():
-        found.setdefault("utf-8" if row.utf8 else fallback, []).append(row.path)
-    return found
+        encoding = "utf-8" if row.utf8 else fallback
+        found.setdefault((encoding, row.header), []).append(row.path)
+    return [(encoding, files) for (encoding, _), files in found.items()]
 
 
-def read_csv(
+def read_parts(
     spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None
-) -> DataFrame:
-    """CSV with a header row, every column as text.
+) -> list[DataFrame]:
+    """CSV files with a header row as text columns, one table per encoding and header.
 
-    Without ``encoding`` the files are sorted by :func:`files_by_encoding`; each encoding
-    is scanned on its own and the parts are united by column name. A missing path fails
-    here, before any job.
+    With an ``encoding`` given, all files must share one header and are not examined. A
+    missing path fails here, before any job.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    groups = {encoding: paths} if encoding else files_by_encoding(spark, paths)
-    if any(name.lower() == FALLBACK_ENCODING for name in groups):
+    groups = [(encoding, paths)] if encoding else group_files(spark, paths)
+    if any(name.lower() == FALLBACK_ENCODING for name, _ in groups):
         # Spark 4 accepts only a short list of encodings unless this is on.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    parts = [
+    if not groups:
+        raise ValueError(f"no data in {paths}")
+    return [
         spark.read.option("header", True).option("encoding", name).csv(files)
-        for name, files in groups.items()
+        for name, files in groups
     ]
-    if not parts:
-        raise ValueError(f"no data in {paths}")
-    return unite(parts, allow_missing=True)
+
+
+def read_csv(
+    spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None
+) -> DataFrame:
+    """The tables of :func:`read_parts` united by column name; absent columns are NULL."""
+    return unite(read_parts(spark, paths, encoding), allow_missing=True)
 
 
 def unite(parts: Sequence[DataFrame], allow_missing: bool = False) -> DataFrame:
@@ -103,8 +117,8 @@ def standardise_transactions(df: DataFrame) -> DataFrame:
 
 
 def read_transactions(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
-    """The master table: every source mapped on its own, then united."""
-    return unite([standardise_transactions(read_csv(spark, s)) for s in sources])
+    """The master table: every kind of source file mapped on its own, then united."""
+    return unite([standardise_transactions(p) for s in sources for p in read_parts(spark, s)])
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ from suite import sql
 from suite.adapters import (
     GROUPS,
     ingredients,
+    item_groups,
     panel,
     r4,
     rounded,
@@ -105,8 +106,13 @@ def wide_to_long(spark, sf):
   SELECT n.cluster, n.grp AS item, d.date, {sql.r4('CASE WHEN w.price > 0 THEN w.price END', 'price')}
   FROM days d CROSS JOIN names n LEFT JOIN wide w ON w.date = d.date AND w.grp = n.grp""")
 def cluster_series(spark, sf):
-    mapping = spark.createDataFrame(
-        [(g, i % 3) for i, g in enumerate(GROUPS[:6])], "item string, cluster int"
+    place = F.array_position(F.array(*[F.lit(g) for g in GROUPS[:6]]), F.col("grp"))
+    mapping = (
+        item_groups(spark, sf)
+        .select("grp", place.alias("place"))
+        .distinct()
+        .where("place > 0")
+        .select(F.col("grp").alias("item"), ((F.col("place") - 1) % 3).cast("int").alias("cluster"))
     )
     series = wide.cluster_series(wide_prices(spark, sf), mapping)
     return rounded(series.select("cluster", "item", "date", "price"), "price")
@@ -143,6 +149,12 @@ def top_items(spark, sf):
     return rounded(profile.top_items(weekly_table(spark, sf), 40), "total_amount")
 
 
+@query("""SELECT DISTINCT p_name AS item FROM part""")
+def distinct_items(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_name").alias("item"))
+    return profile.distinct_values(parts, "item")
+
+
 @query(f"""WITH {sql.WEEKLY}, total AS (SELECT count(DISTINCT week) AS weeks_total FROM weekly)
   SELECT item, count(qty_in_week) AS weeks_traded, any_value(weeks_total) AS weeks_total,
     {sql.r4('count(qty_in_week) / any_value(weeks_total)', 'coverage')}
@@ -345,8 +357,10 @@ def recent_supply(spark, sf):
   SELECT item, week, round(sum(qty_in_week), 2) AS qty_in_week, round(sum(amount_week), 2) AS amount_week
   FROM named GROUP BY 1, 2""")
 def aliased_weekly(spark, sf):
-    aliases = spark.createDataFrame(
-        [(f"hot {g}", f"warm {g}") for g in GROUPS], "alias string, canonical string"
+    aliases = (
+        item_groups(spark, sf)
+        .where(F.col("item").like("hot %"))
+        .select(F.col("item").alias("alias"), F.concat(F.lit("warm "), "grp").alias("canonical"))
     )
     merged = weekly.apply_aliases(weekly_table(spark, sf), aliases)
     return merged.select("item", "week", F.round("qty_in_week", 2).alias("qty_in_week"),

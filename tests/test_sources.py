@@ -14,6 +14,8 @@ def write(path, text, encoding):
 def test_transactions_from_mixed_sources(spark, tmp_path):
     write(tmp_path / "a" / "1.csv", "거래일자,품목명,반입량,금액\n2024-01-01,양파,10,1000\n", "utf-8-sig")
     write(tmp_path / "a" / "2.csv", "거래일자,품목명,반입량,금액\n2024-01-02,마늘,2,x\n", "cp949")
+    # Another header among the UTF-8 files of the same source.
+    write(tmp_path / "a" / "3.csv", "금액,수량,품목,date\n9,3,무,2024-01-04\n", "utf-8")
     write(tmp_path / "b" / "1.csv", "amount,item,qty_in,date\n7,leek,1,20240103\n", "utf-8")
     df = readers.read_transactions(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert df.columns == ["date", "item", "qty_in", "amount"]
@@ -21,9 +23,23 @@ def test_transactions_from_mixed_sources(spark, tmp_path):
         (date(2024, 1, 1), "양파", 10.0, 1000.0),
         (date(2024, 1, 2), "마늘", 2.0, None),
         (date(2024, 1, 3), "leek", 1.0, 7.0),
+        (date(2024, 1, 4), "무", 3.0, 9.0),
     ]
 
 
+def test_header_is_the_first_line_of_a_file_in_several_blocks(spark, tmp_path):
+    body = "".join(f"{i},x{i}\n" for i in range(20000))
+    write(tmp_path / "s" / "1.csv", "a,b\n" + body, "utf-8")
+    write(tmp_path / "s" / "2.csv", "b,a\n" + body, "utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        assert [len(files) for _, files in readers.group_files(spark, [str(tmp_path / "s")])] == [1, 1]
+        write(tmp_path / "s" / "2.csv", "a,b\n" + body, "utf-8")
+        assert [len(files) for _, files in readers.group_files(spark, [str(tmp_path / "s")])] == [2]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_missing_column_fails_before_any_job(spark):
     df = spark.createDataFrame([("2024-01-01", "a", "1")], "date string, item string, qty_in string")
     with pytest.raises(ValueError, match="amount"):
