@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketweek.llm import packing, simhash, slots
+from marketweek.llm import divergence, packing, simhash, slots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,11 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_hilbert_packing, op2_covering_simhash, op7_virtual_slots)
+    f.__name__: f for f in (op1_hilbert_packing, op2_covering_simhash, op7_virtual_slots, op8_divergence_rules)
 }
 ORACLES: dict[str, str] = {}
