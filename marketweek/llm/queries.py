@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketweek.llm import divergence, packing, simhash, slots
+from marketweek.llm import divergence, packing, simhash, slots, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,11 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(_table(spark, sf_dir, "documents"))
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_hilbert_packing, op2_covering_simhash, op7_virtual_slots, op8_divergence_rules)
+    f.__name__: f for f in (op1_hilbert_packing, op2_covering_simhash, op7_virtual_slots, op8_divergence_rules, op10_compact_windows)
 }
 ORACLES: dict[str, str] = {}

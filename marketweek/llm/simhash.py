@@ -276,3 +276,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -
     return found.join(named, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id.
+
+    All columns stay as they were. Of rows repeating that doc_id one stays. Documents without
+    doc_id form no groups and all stay.
+    """
+    named = near_duplicates(docs.where("doc_id is not null"), text, bucket)
+    lost = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    kept = docs.join(lost, F.col("doc_id").cast("long") == F.col("_lost"), "left_anti")
+    repeated = (
+        docs.groupBy(F.col("doc_id").cast("long").alias("_repeated")).agg(F.count("*").alias("_n"))
+        .where("_n > 1 and _repeated is not null").select("_repeated")
+    )
+    # Only ids that occur twice pass through the deduplication.
+    several = kept.join(repeated, F.col("doc_id").cast("long") == F.col("_repeated"), "left_semi")
+    single = kept.join(repeated, F.col("doc_id").cast("long") == F.col("_repeated"), "left_anti")
+    return single.union(several.dropDuplicates(["doc_id"]))
