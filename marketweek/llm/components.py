@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +59,28 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
             least.select(F.col("u").alias("a"), F.col("m").alias("b"))
         )
     return _oriented(out).distinct()
+
+
+def spanning_forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Indices of pairs ``(i, j)`` over ``n`` nodes that connect what all pairs connect.
+
+    At most ``n - 1`` are chosen: in every round each tree takes one pair to the smallest tree
+    it touches.
+    """
+    label, chosen = np.arange(n), []
+    rest = np.arange(len(i))
+    while True:
+        high = np.maximum(label[i[rest]], label[j[rest]])
+        low = np.minimum(label[i[rest]], label[j[rest]])
+        apart = high != low
+        rest, high, low = rest[apart], high[apart], low[apart]
+        if not len(rest):
+            return np.concatenate(chosen) if chosen else rest
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], np.diff(high[order]) != 0])]
+        chosen.append(rest[first])
+        parent = np.arange(n)
+        parent[high[first]] = low[first]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]

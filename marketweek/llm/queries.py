@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketweek.llm import divergence, packing, simhash, slots, windows
+from marketweek.llm import attribution, divergence, licences, packing, pivots, sampling, simhash, slots, windows, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,30 @@ def op2_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(_table(spark, sf_dir, "documents"))
+
+
+def op5_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampling.segmentations(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+        "log_prob", "perturbed", "inclusion", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+    )
+
+
+def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +61,11 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_hilbert_packing, op2_covering_simhash, op7_virtual_slots, op8_divergence_rules, op10_compact_windows)
+    f.__name__: f
+    for f in (
+        op1_hilbert_packing, op2_covering_simhash, op3_pivot_index, op4_offset_attribution,
+        op5_gumbel_segmentations, op6_wrapper_induction, op7_virtual_slots, op8_divergence_rules,
+        op9_licence_classifier, op10_compact_windows,
+    )
 }
 ORACLES: dict[str, str] = {}

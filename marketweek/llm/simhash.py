@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketweek.llm.components import connected_components
+from marketweek.llm.components import connected_components, spanning_forest
 from marketweek.llm.storage import ship, staged
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -186,26 +186,17 @@ def neighbour_forest(values: np.ndarray, free: tuple[int, ...], radius: int = RA
     changes = [sum(1 << p for p in c) for r in range(1, radius + 1) for c in combinations(free, r)]
     if n <= max(BUCKET, len(changes)):
         return close_forest(values, radius)
-    label = np.arange(n)
-    a, b = [], []
+    i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for change in changes:
         other = values ^ np.uint64(change)
         at = np.minimum(np.searchsorted(values, other), n - 1)
-        i = np.flatnonzero((values[at] == other) & (values < other))
-        i = i[label[i] != label[at[i]]]
-        if not len(i):
-            continue
-        j = at[i]
-        a.append(values[i])
-        b.append(values[j])
-        while (label[i] != label[j]).any():
-            parent = np.arange(n)
-            np.minimum.at(parent, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            label = parent[label]
-    none = values[:0]
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+        found = np.flatnonzero((values[at] == other) & (values < other))
+        i, j = np.concatenate([i, found]), np.concatenate([j, at[found]])
+        if len(i) > 4 * n:
+            kept = spanning_forest(i, j, n)
+            i, j = i[kept], j[kept]
+    kept = spanning_forest(i, j, n)
+    return values[i[kept]], values[j[kept]]
 
 
 def _masked(rows: DataFrame, masks: list[tuple[int, int, int]]) -> DataFrame:
