@@ -14,15 +14,6 @@ from marketweek.llm.storage import ship
 RULES = ("most", "first", "shares")
 
 
-def token_bytes() -> np.ndarray:
-    """Bytes of text behind each id: in a byte-level vocabulary one character is one byte."""
-    codes = encoder()
-    if not hasattr(codes, "bytes_of"):
-        size = codes.tokenizer.get_vocab_size()
-        codes.bytes_of = np.array([len(codes.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
-    return codes.bytes_of
-
-
 def allocate(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section: ``ends`` are the tokens' ends in bytes, sections are sorted and
     don't overlap. Bytes of no section count for none."""
@@ -78,7 +69,8 @@ def attribute(docs: DataFrame, sections: Column | None = None, text: str = "text
     )
 
     def run(frames):
-        codes, sizes = encoder(), token_bytes()
+        codes = encoder()
+        sizes = codes.bytes_of
         for doc_ids, texts, given in batches(frames, ["doc_id", "text", "sections"], "text"):
             ids, counts = codes.encode(texts)
             cuts = np.cumsum(counts)

@@ -11,8 +11,12 @@ TOKENIZER = "byte_bpe_50k.json"
 #: A lone space between two other characters starts a new pre-token, so encoding may stop
 #: before it and go on with it: the ids are those of the whole text.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside other white space; without it every space is such a cut.
+BESIDE = re.compile(r" \s|[^\S ] ")
 #: Distinct words remembered by a worker before it starts anew.
 MEMORY = 600_000
+#: New words encoded in one run.
+RUN = 512
 
 
 @lru_cache(maxsize=1)
@@ -39,6 +43,9 @@ class WordCodes:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size()
+        #: Bytes of text behind each id: one character of a byte-level piece is one byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
@@ -55,9 +62,25 @@ class WordCodes:
         return code
 
     def _learn(self) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for x in got for i in x), np.uint16, int(lengths.sum()))
+        """Encode new words in long runs; the pieces' bytes tell where each word ends."""
+        parts, lengths = [], np.zeros(len(self.new), np.int64)
+        runs, at = [], 0
+        for k in range(1, len(self.new) + 1):
+            # A word without a space in front starts a text; its run ends with it.
+            if k == len(self.new) or k - at == RUN or self.new[k][0] != " " or self.new[k - 1][0] != " ":
+                runs.append((at, k))
+                at = k
+        got = self.tokenizer.encode_batch_fast(["".join(self.new[a:b]) for a, b in runs], add_special_tokens=False)
+        for (a, b), encoded in zip(runs, got):
+            run = np.array(encoded.ids, np.uint16)
+            parts.append(run)
+            if b - a == 1:
+                lengths[a] = len(run)
+            else:
+                ends = np.cumsum(np.fromiter((len(w.encode()) for w in self.new[a:b]), np.int64, b - a))
+                upto = np.searchsorted(np.cumsum(self.bytes_of[run]), ends, "right")
+                lengths[a:b] = np.diff(upto, prepend=0)
+        ids = np.concatenate(parts)
         need = self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(need, np.uint16)])
@@ -77,7 +100,8 @@ class WordCodes:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            first, *rest = CUT.split(text)
+            plain = text[0] != " " and text[-1] != " " and not BESIDE.search(text)
+            first, *rest = text.split(" ") if plain else CUT.split(text)
             # A text's first word has no space before it: its key is a tuple.
             c = get((first,))
             coded.append(code((first,), first) if c is None else c)
