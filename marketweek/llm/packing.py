@@ -161,7 +161,7 @@ def pack(docs: DataFrame, text: str = "text", sequence: int = SEQUENCE) -> DataF
     import pyarrow as pa
 
     tokens = staged(tokenised(docs, text), "tokens")
-    placed = tokens.select("row_id", "doc_id", "n_tokens", "ids").join(curve_starts(tokens), "row_id")
+    placed = tokens.select("row_id", "doc_id", "n_tokens", "ids").join(curve_starts(tokens).hint("merge"), "row_id")
 
     def cut(frames):
         for frame in frames:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweek.llm.components import connected_components, spanning_forest
@@ -277,12 +277,9 @@ def keep_one(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataF
     """
     named = near_duplicates(docs.where("doc_id is not null"), text, bucket)
     lost = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, F.col("doc_id").cast("long") == F.col("_lost"), "left_anti")
-    repeated = (
-        docs.groupBy(F.col("doc_id").cast("long").alias("_repeated")).agg(F.count("*").alias("_n"))
-        .where("_n > 1 and _repeated is not null").select("_repeated")
-    )
-    # Only ids that occur twice pass through the deduplication.
-    several = kept.join(repeated, F.col("doc_id").cast("long") == F.col("_repeated"), "left_semi")
-    single = kept.join(repeated, F.col("doc_id").cast("long") == F.col("_repeated"), "left_anti")
-    return single.union(several.dropDuplicates(["doc_id"]))
+    key = F.col("doc_id").cast("long")
+    # Sorted by the join already, repeated rows follow each other: numbering them moves nothing.
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    kept = docs.where("doc_id is not null").join(lost.hint("merge"), key == F.col("_lost"), "left_anti")
+    kept = kept.withColumn("_place", place).where("_place = 1").drop("_place")
+    return kept.union(docs.where("doc_id is null"))
