@@ -35,9 +35,11 @@ def week_of(column: Column) -> Column:
 
 
 def iso_week_start(year: Column, week: Column) -> Column:
-    """Monday of an ISO (year, week) pair; NULL unless the week lies in 1..53."""
-    first = F.trunc(F.make_date(year.cast("int"), F.lit(1), F.lit(4)), "WEEK")
-    number = week.cast("int")
+    """Monday of an ISO (year, week) pair; NULL unless the week lies in 1..53 and the year in
+    1..9999, also for numbers beyond an integer."""
+    whole = year.try_cast("int")
+    first = F.trunc(F.make_date(F.when(whole.between(1, 9999), whole), F.lit(1), F.lit(4)), "WEEK")
+    number = week.try_cast("int")
     return F.when(number.between(1, 53), F.date_add(first, (number - 1) * 7))
 
 

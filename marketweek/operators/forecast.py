@@ -199,12 +199,12 @@ def forecast_selected(board: DataFrame, params: ForecastParams = ForecastParams(
 def forecast_by_name(
     rows: DataFrame, choice: DataFrame, params: ForecastParams = ForecastParams()
 ) -> DataFrame:
-    """Forecast with a model named per item (``item, model``); an unknown name means
-    the seasonal naive."""
+    """Forecast with a model named per item (``item, model``); an unknown name or an item
+    without one means the seasonal naive."""
     live = rows.where("fold = 0").groupBy("item").agg(
         F.map_from_entries(F.collect_list(F.struct("model", F.struct("target_weeks", "yhat")))).alias("_m")
     )
-    named = live.join(choice.select("item", F.col("model").alias("_name")), "item")
+    named = live.join(choice.select("item", F.col("model").alias("_name")), "item", "left")
     wanted = F.coalesce("_name", F.lit(SEASONAL_NAIVE))
     forecast = F.coalesce(F.col("_m")[wanted], F.col("_m")[SEASONAL_NAIVE])
     picked = named.select("item", wanted.alias("model"), forecast.alias("_p"))

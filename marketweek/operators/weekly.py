@@ -56,8 +56,10 @@ def apply_aliases(weekly: DataFrame, aliases: DataFrame) -> DataFrame:
     """Rename items to their canonical names and add their weeks up.
 
     Works on the weekly sums, not on transactions: a hot item is already one row per week
-    when it meets the alias table.
+    when it meets the alias table. An alias listed more than once counts once, with the first
+    of its canonical names in order.
     """
+    aliases = aliases.groupBy("alias").agg(F.min("canonical").alias("canonical"))
     named = weekly.join(aliases, F.col("item") == F.col("alias"), "left").select(
         F.coalesce("canonical", "item").alias("item"), "week", "qty_in_week", "amount_week"
     )

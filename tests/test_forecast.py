@@ -161,3 +161,10 @@ def test_calendar_naive_needs_the_exact_week(spark):
 def test_future_weeks(spark):
     row = spark.range(1).select(future_weeks(F.lit("2024-12-30").cast("date"), 2).alias("f")).first()
     assert [str(d) for d in row.f] == ["2025-01-06", "2025-01-13"]
+
+
+def test_item_without_a_choice_keeps_the_seasonal_naive(spark):
+    rows = [(i, 0, 60, [monday(1)], None, m, [y]) for i in "ab" for m, y in (("SeasonalNaive", 7.0), ("WeekMean", 8.0))]
+    choice = spark.createDataFrame([("a", "WeekMean")], "item string, model string")
+    got = {r.item: r.y_hat for r in fc.forecast_by_name(board_of(spark, rows), choice, P).collect()}
+    assert got == {"a": 8.0, "b": 7.0}

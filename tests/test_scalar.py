@@ -75,3 +75,8 @@ def test_required_columns_and_rows(spark):
         s.require_rows(df.where("a > 5"), "item x")
     assert s.require_rows(df, "item x") is df
     assert s.present_columns(df, ["b", "a"]) == ["a"]
+
+
+@pytest.mark.parametrize("year, week", [(99999999999, 1), (2020, 99999999999), (0, 1), (10000, 1), (-5, 3)])
+def test_iso_week_start_of_absurd_numbers(spark, year, week):
+    assert one(spark, s.iso_week_start(F.lit(year), F.lit(week))) is None

@@ -119,3 +119,10 @@ def test_coverage_grid_marks_missing_weeks(spark):
     grid = {(r.item, r.week): r.traded for r in profile.coverage_grid(df, profile.top_items(df, 2)).collect()}
     assert grid == {("a", monday(0)): 1, ("a", monday(1)): 1, ("b", monday(0)): 0, ("b", monday(1)): 1}
     assert as_dict(profile.coverage(df), "item", "coverage") == {"a": 1.0, "b": 0.5}
+
+
+def test_repeated_alias_counts_once(spark):
+    sums = spark.createDataFrame([("x", date(2024, 1, 1), 2.0, 10.0)], "item string, week date, qty_in_week double, amount_week double")
+    aliases = spark.createDataFrame([("x", "b"), ("x", "b"), ("x", "a")], "alias string, canonical string")
+    got = w.apply_aliases(sums, aliases).collect()
+    assert [(r.item, r.amount_week) for r in got] == [("a", 10.0)]
