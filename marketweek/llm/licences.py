@@ -64,7 +64,16 @@ LEAST_PRECISION = 0.98
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters, digits, dots and dashes, without final dots."""
     clean = F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.\-]+|\.(?=\s|$)", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " +"))
+    return F.array_remove(F.split(clean, " +"), "")
+
+
+def evaluated(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row, however often later columns and filters use it.
+
+    Spark copies a plain column's expression into every filter on top of it; it doesn't look
+    through a generator, so the value is the one element of an array.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def grams(words: Column) -> Column:
@@ -117,12 +126,14 @@ class LicenceModel:
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """Add ``family`` and its calibrated ``probability``; needs ``words``."""
-        raw = self.model.transform(rows.withColumn("grams", grams(F.col("words"))))
-        margin = F.transform(vector_to_array("rawPrediction"), lambda x: x / self.temperature)
+        raw = self.model.transform(evaluated(rows, "grams", grams(F.col("words"))))
+        margins = evaluated(raw, "_margin", vector_to_array("rawPrediction"))
         best = F.array_max("_margin")
-        total = F.aggregate("_margin", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(F.col("_margin"))))
+        total = F.aggregate(
+            F.transform("_margin", lambda x: F.exp((x - best) / self.temperature)), F.lit(0.0), lambda s, x: s + x
+        )
         names = F.array(*[F.lit(f) for f in [*FAMILIES, NONE]])
-        return raw.withColumn("_margin", margin).select(
+        return margins.select(
             *rows.columns, F.element_at(names, F.array_position("_margin", best).cast("int")).alias("family"),
             (1 / total).alias("probability"),
         )
@@ -177,7 +188,7 @@ def scan(docs: DataFrame, text: str = "text", model: LicenceModel | None = None)
     without paragraphs is classified by the templates alone; other columns are ignored.
     """
     model = model or train(docs, text)
-    rows = paragraphs(docs, text).withColumn("words", words_of(F.col("body")))
+    rows = evaluated(paragraphs(docs, text), "words", words_of(F.col("body")))
     scored = model.scored(rows).where(F.col("family") != NONE)
     score = template_score(F.col("words"), F.col("family"))
     sure = (F.col("probability") >= model.threshold) & (F.col("template_score") >= CONFIRM)
