@@ -34,18 +34,29 @@ def metrics_overall_and_by_item(predictions: DataFrame) -> DataFrame:
 
 
 def improvement(model: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Relative gain of a model's metrics over a baseline's, row by row of the metric tables."""
-    m, b = model.alias("m"), baseline.alias("b")
-    same = (F.col("m.is_total") == F.col("b.is_total")) & F.col("m.item").eqNullSafe(F.col("b.item"))
-    columns = []
-    for name in COMPARED:
-        new, old = F.col(f"m.{name}"), F.col(f"b.{name}")
-        columns += [
-            new.alias(f"{name}_model"),
-            old.alias(f"{name}_base"),
-            F.try_divide(old - new, old).alias(f"{name}_gain"),
-        ]
-    return m.join(b, same).select(F.col("m.item").alias("item"), F.col("m.is_total").alias("is_total"), *columns)
+    """Relative gain of a model's metrics over a baseline's, overall and per item.
+
+    Both sides have ``item, forecast_week, y, y_hat``, one row per item and predicted week, and
+    are scored on the rows they share; ``n_model`` and ``n_base`` count what each side
+    predicted, ``n_common`` what was compared. One join, one aggregation.
+    """
+    m = model.select("item", "forecast_week", "y", F.col("y_hat").alias("_m"))
+    b = baseline.select("item", "forecast_week", F.col("y_hat").alias("_b"))
+    shared = F.col("_m").isNotNull() & F.col("_b").isNotNull()
+    y = F.when(shared, F.col("y"))
+    mine, other = (prediction_metrics(y, F.col(c)) for c in ("_m", "_b"))
+    scores = m.join(b, ["item", "forecast_week"], "full").groupingSets([["item"], []], "item").agg(
+        F.grouping("item").cast("int").alias("is_total"),
+        *[c.alias(f"{k}_model") for k, c in mine.items() if k in COMPARED],
+        *[c.alias(f"{k}_base") for k, c in other.items() if k in COMPARED],
+        F.count("_m").alias("n_model"),
+        F.count("_b").alias("n_base"),
+        mine["n"].alias("n_common"),
+    )
+    gains = {
+        f"{k}_gain": F.try_divide(F.col(f"{k}_base") - F.col(f"{k}_model"), F.col(f"{k}_base")) for k in COMPARED
+    }
+    return scores.withColumns(gains)
 
 
 def best_and_worst(metrics: DataFrame, n: int = 5) -> DataFrame:

@@ -72,6 +72,7 @@ def weekly_features(weekly: DataFrame, params: FeatureParams = FeatureParams())
         columns |= yoy_columns(name)
     columns |= volatility_columns(params.vol_windows)
     columns |= target_columns()
+    columns["target_week"] = F.lead("week", 1).over(item_order())
     return calendar(with_price_change(with_logs(weekly)).withColumns(columns))
 
 

@@ -13,9 +13,9 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketweek.functions.metrics import log_rmse, prediction_metrics
@@ -24,6 +24,8 @@ from marketweek.params import FeatureParams, GbmParams
 from marketweek.session import ensure_checkpoint_dir, materialise
 
 LABEL = "next_week_log_price"
+ITEM_ENCODING = "item_encoding"
+BINS = 64
 SHORT_LAG = 12
 RAW_FEATURES = ("log_price", "log_qty", "qty_in_week", "year", "month", "weekofyear")
 
@@ -39,6 +41,18 @@ def feature_names(features: FeatureParams = FeatureParams(), extra: tuple[str, .
     return [*names, *extra]
 
 
+def encode_items(table: DataFrame) -> DataFrame:
+    """Item as a number, the same way for any number of items: the mean target of its earlier rows.
+
+    The target of an earlier row is the price of a week up to the current one, so the row's own
+    target never enters. An item's first row has the current price. The window is that of the
+    look-backs and needs no further shuffle; an item never seen in training is no special case.
+    """
+    earlier = Window.partitionBy("item").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)
+    mean = F.coalesce(F.avg(LABEL).over(earlier), F.col("log_price"))
+    return table.withColumn(ITEM_ENCODING, mean)
+
+
 def drop_warm_up(table: DataFrame, features: FeatureParams = FeatureParams()) -> DataFrame:
     """Require the short look-backs."""
     short = [f"log_price_lag{k}" for k in features.lags if k <= SHORT_LAG]
@@ -72,7 +86,7 @@ def prepare(
     table: DataFrame, features: FeatureParams = FeatureParams(), extra: tuple[str, ...] = ()
 ) -> DataFrame:
     """Feature rows ready for training or scoring. The label may be NULL in the last week."""
-    return impute(drop_warm_up(table, features), features, extra)
+    return impute(drop_warm_up(encode_items(table), features), features, extra)
 
 
 def training_table(
@@ -91,17 +105,14 @@ def training_table(
 
 @dataclass(frozen=True)
 class GlobalModel:
-    """A fitted model with the item encoding it was trained with."""
+    """A fitted model; its pipeline alone scores prepared rows, also after saving and loading."""
 
     pipeline: PipelineModel
     inputs: tuple[str, ...]
-    item_means: DataFrame | None
-    overall_mean: float | None
 
     def predict(self, prepared: DataFrame) -> DataFrame:
         """Adds ``log_pred`` and ``pred_price``."""
-        rows = _with_item_mean(prepared, self.item_means, self.overall_mean)
-        scored = self.pipeline.transform(rows).withColumnRenamed("prediction", "log_pred")
+        scored = self.pipeline.transform(prepared).withColumnRenamed("prediction", "log_pred")
         return scored.withColumn("pred_price", F.expm1("log_pred"))
 
     def importances(self) -> DataFrame:
@@ -113,44 +124,22 @@ class GlobalModel:
         return table.orderBy(F.desc("importance"), "feature")
 
 
-def _with_item_mean(rows: DataFrame, means: DataFrame | None, overall: float | None) -> DataFrame:
-    if means is None:
-        return rows
-    joined = rows.join(means, "item", "left")
-    return joined.withColumn("item_mean", F.coalesce("item_mean", F.lit(overall)))
-
-
 def fit(
     train: DataFrame,
     params: GbmParams = GbmParams(),
     features: FeatureParams = FeatureParams(),
 ) -> GlobalModel:
-    """Fit on prepared rows with a label.
-
-    Few items enter as a categorical feature. Tree histograms need a bin per category, so
-    beyond ``max_item_categories`` an item enters as its mean training target instead, the
-    order a regression tree would sort its categories by.
-    """
+    """Fit on prepared rows with a label; the item enters by :func:`encode_items`."""
     ensure_checkpoint_dir(train.sparkSession)
     rows = train.where(F.col(LABEL).isNotNull())
-    n_items = rows.select("item").distinct().count()
-    stages, means, overall = [], None, None
-    if n_items <= params.max_item_categories:
-        stages.append(StringIndexer(inputCol="item", outputCol="item_index", handleInvalid="keep"))
-        item_input = "item_index"
-    else:
-        means = rows.groupBy("item").agg(F.avg(LABEL).alias("item_mean"))
-        overall = rows.agg(F.avg(LABEL)).first()[0]
-        rows = _with_item_mean(rows, means, overall)
-        item_input = "item_mean"
     inputs = [
         *feature_names(features, params.extra_features),
         "is_missing",
         *(["is_missing_extra"] if params.extra_features else []),
-        item_input,
+        ITEM_ENCODING,
     ]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    stages.append(
+    stages = [
+        VectorAssembler(inputCols=inputs, outputCol="features"),
         GBTRegressor(
             labelCol=LABEL,
             featuresCol="features",
@@ -160,19 +149,20 @@ def fit(
             minInstancesPerNode=params.min_child_samples,
             featureSubsetStrategy=str(params.feature_fraction),
             subsamplingRate=params.subsample,
-            maxBins=64 if means is not None else max(64, n_items + 1),
+            maxBins=BINS,
             checkpointInterval=10,
             seed=params.seed,
-        )
-    )
-    return GlobalModel(Pipeline(stages=stages).fit(rows), tuple(inputs), means, overall)
+        ),
+    ]
+    return GlobalModel(Pipeline(stages=stages).fit(rows), tuple(inputs))
 
 
 def validation_predictions(model: GlobalModel, prepared: DataFrame) -> DataFrame:
-    """``item, week, y, y_hat`` with the log values, over rows whose target is known."""
+    """``item, week, forecast_week, y, y_hat`` with the log values, where the target is known."""
     return model.predict(prepared.where(F.col(LABEL).isNotNull())).select(
         "item",
         "week",
+        F.col("target_week").alias("forecast_week"),
         F.col("next_week_unit_price").alias("y"),
         F.col("pred_price").alias("y_hat"),
         F.col(LABEL).alias("log_y"),

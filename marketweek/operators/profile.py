@@ -147,17 +147,24 @@ def lagged_correlation(
 ) -> DataFrame:
     """Correlation of log price with a weather variable ``k`` calendar weeks earlier.
 
-    The shifted weather has ``max_lag + 1`` rows per calendar week, which bounds the
-    broadcast; the panel is read once for all lags.
+    The panel collapses to counts, sums and squares per week before it meets the shifted
+    weather, so the lags multiply calendar weeks, not item-weeks. The weather is centred
+    to keep the sums of squares exact enough.
     """
     shifted = weather.select(
         F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"),
         F.col("week").alias("_w"),
-        F.col(variable).alias("_x"),
+        (F.col(variable) - weather.select(F.avg(variable)).scalar()).alias("_x"),
     ).select("lag", F.date_add("_w", (F.col("lag") * 7).cast("int")).alias("week"), "_x")
-    pairs = weekly.select("week", F.log1p("unit_price_week").alias("_y")).join(
-        F.broadcast(shifted), "week"
+    y = F.log1p("unit_price_week")
+    weeks = weekly.where(y.isNotNull()).groupBy("week").agg(
+        F.count("*").alias("_n"), F.sum(y).alias("_y"), F.sum(y * y).alias("_yy")
     )
-    return pairs.where("_x is not null and _y is not null").groupBy("lag").agg(
-        F.count("*").alias("n"), F.corr("_y", "_x").alias("corr")
+    x, n = F.col("_x"), F.sum("_n")
+    sx, sy = F.sum(F.col("_n") * x), F.sum("_y")
+    spread_x = n * F.sum(F.col("_n") * x * x) - sx * sx
+    spread_y = n * F.sum("_yy") - sy * sy
+    both = n * F.sum(F.col("_y") * x) - sx * sy
+    return weeks.join(shifted.where("_x is not null"), "week").groupBy("lag").agg(
+        n.alias("n"), F.try_divide(both, F.sqrt(spread_x * spread_y)).alias("corr")
     )

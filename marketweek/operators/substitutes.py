@@ -90,7 +90,11 @@ def shortlist(grouped: DataFrame, thresholds: DataFrame, params: SubstituteParam
 def substitutes(
     grouped: DataFrame, params: SubstituteParams = SubstituteParams(), thresholds: DataFrame | None = None
 ) -> DataFrame:
-    """``top_k`` substitutes per item, by saving, then lower volatility, then name."""
+    """``top_k`` substitutes per item, by saving, then lower volatility, then name.
+
+    An item in several groups has one list; a substitute found in several of them stands there
+    once, with the first group in order. One shuffle on the item serves both steps.
+    """
     limits = group_thresholds(grouped, params) if thresholds is None else thresholds
     lists = shortlist(grouped, limits, params)
     own = F.col("pred_price")
@@ -103,24 +107,27 @@ def substitutes(
         lambda c: (c["candidate"] != F.col("item"))
         & (saving(c) >= params.price_discount_threshold),
     )
-    return (
+    found = (
         salted_join(grouped.where(own > 0), lists, ["grp"], ["item"])
+        .select("grp", "item", "pred_price", "price_vol_8", F.explode(F.slice(good, 1, params.top_k)).alias("_c"))
         .select(
             "grp",
             "item",
-            "pred_price",
-            "price_vol_8",
-            F.posexplode(F.slice(good, 1, params.top_k)).alias("_pos", "_c"),
-        )
-        .select(
-            "grp",
-            "item",
-            (F.col("_pos") + 1).alias("rank"),
             F.col("_c.candidate").alias("substitute"),
+            F.col("_c.candidate_price").alias("_price"),
             ((own - F.col("_c.candidate_price")) / own).alias("saving_rate"),
             F.col("_c.candidate_vol").alias("price_vol_8"),
             F.col("price_vol_8").alias("own_vol_8"),
         )
+        .repartition("item")
+    )
+    copies = Window.partitionBy("item", "substitute").orderBy("grp")
+    once = found.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1")
+    best_first = Window.partitionBy("item").orderBy("_price", "price_vol_8", "substitute")
+    return (
+        once.withColumn("rank", F.row_number().over(best_first))
+        .where(F.col("rank") <= params.top_k)
+        .select("grp", "item", "rank", "substitute", "saving_rate", "price_vol_8", "own_vol_8")
     )
 
 

@@ -86,9 +86,9 @@ def weather_weekly(weather: DataFrame, summed: tuple[str, ...] = SUMMED_WEATHER)
 def join_weather(panel: DataFrame, weather: DataFrame) -> DataFrame:
     """Weather of the week on every item-week; unmatched weeks stay NULL.
 
-    ``weather`` has one row per calendar week, which bounds what is broadcast.
+    ``weather`` has one row per week; Spark broadcasts it while its measured size allows.
     """
-    return panel.join(F.broadcast(weather), "week", "left")
+    return panel.join(weather, "week", "left")
 
 
 @dataclass(frozen=True)

@@ -55,8 +55,7 @@ class SubstituteParams:
 class GbmParams:
     """Settings of the global boosted-tree model.
 
-    ``max_depth=6`` stands for 63 leaves; above ``max_item_categories`` items the item
-    enters as its mean training target, see ``operators.gbm``.
+    ``max_depth=6`` stands for 63 leaves.
     """
 
     learning_rate: float = 0.05
@@ -66,5 +65,4 @@ class GbmParams:
     subsample: float = 0.9
     seed: int = 42
     rounds: int = 100
-    max_item_categories: int = 512
     extra_features: tuple[str, ...] = field(default_factory=tuple)

@@ -107,7 +107,7 @@ def train_and_recommend(
     write_report(metrics, f"{out}/val_metrics")
     write_report(naive, f"{out}/baseline_predictions")
     write_report(base, f"{out}/baseline_metrics")
-    write_report(evaluation.improvement(metrics, base), f"{out}/improvement")
+    write_report(evaluation.improvement(held, naive.withColumnRenamed("week", "forecast_week")), f"{out}/improvement")
     write_report(model.importances(), f"{out}/importances")
     save_model(model.pipeline, f"{out}/model")
     latest = weekly.select(F.max("week")).scalar()

@@ -19,7 +19,6 @@ from marketweek.operators.baselines import (
     week_pairs,
 )
 from marketweek.operators.folds import folds, series
-from marketweek.operators.forecast import CLOSED_FORM
 from marketweek.operators.substitutes import (
     grouped_state,
     group_thresholds as thresholds_of,
@@ -42,8 +41,13 @@ recommend nothing."""
 METRICS = ("rmse", "mae", "mape", "smape")
 
 
-def closed_rows(spark, sf) -> DataFrame:
-    return forecast.model_rows(panel(spark, sf), P, CLOSED_FORM)
+# All five models, with the parameter search of the smoothing models written as recursion.
+_EVERY = smoothing_sql.all_models()
+_ALL_SCORES = smoothing_sql.all_scores()
+
+
+def five_models(spark, sf) -> DataFrame:
+    return forecast.model_rows(panel(spark, sf), P)
 
 
 def steps(rows: DataFrame, value) -> DataFrame:
@@ -146,53 +150,44 @@ def holt_forecast(spark, sf):
     return ahead.select("item", (F.col("pos") + 1).alias("h"), r4("y").alias("y_hat"))
 
 
-def _seasonal_sql(multiplicative: bool, points: str) -> str:
-    """The best of a small grid on every whole series of at least two seasons."""
+def _seasonal_sql(multiplicative: bool) -> str:
+    """The full parameter search on every whole series of at least two seasons."""
     name = "hwmul" if multiplicative else "hwadd"
     ahead = "(level + h * trend) * season[h]" if multiplicative else "level + h * trend + season[h]"
-    start = smoothing_sql.start_states(multiplicative, name)
-    grid = f"SELECT item, fold, alpha, beta, share FROM {name}_start CROSS JOIN ({points})"
     return f"""WITH RECURSIVE {sql.SERIES},
     train AS (SELECT item, 0 AS fold, n AS train_n, rn, target FROM ser),
-    {start}, {smoothing_sql.walk(multiplicative, name, grid, 0)},
-    best AS (
-      SELECT *, row_number() OVER (PARTITION BY item ORDER BY sse) AS r
-      FROM {name}_walk0 WHERE rn = train_n)
+    {smoothing_sql.searched(multiplicative, name)}
     SELECT item, CAST(h AS INTEGER) AS h, {sql.r4(ahead, 'y_hat')}
-    FROM best CROSS JOIN range(1, 5) AS g(h) WHERE r = 1"""
+    FROM {name}_best{smoothing_sql.REFINEMENTS} CROSS JOIN range(1, 5) AS g(h)"""
 
 
-def _seasonal(spark, sf, column: str, grid) -> DataFrame:
+def _seasonal(spark, sf, column: str) -> DataFrame:
     rows = spread(series(panel(spark, sf)).where(F.col("n") >= 2 * P.period), "item")
-    fit = holt_winters(F.col("y"), P.horizon, P.period, grid, refinements=0)
+    fit = holt_winters(F.col("y"), P.horizon, P.period)
     ahead = rows.withColumn("f", fit).select("item", F.posexplode_outer(f"f.{column}").alias("pos", "y"))
     return ahead.select("item", (F.col("pos") + 1).alias("h"), r4("y").alias("y_hat"))
 
 
-_POINTS = [(a, b, g) for a in (0.05, 0.2, 0.5) for b in (0.0, 0.1) for g in (0.0, 0.2)]
-_POINTS_SQL = smoothing_sql.values(_POINTS, "alpha, beta, share")
-
-
-@query(_seasonal_sql(False, _POINTS_SQL))
+@query(_seasonal_sql(False))
 def hw_add_grid(spark, sf):
-    return _seasonal(spark, sf, "hw_add", _POINTS)
+    return _seasonal(spark, sf, "hw_add")
 
 
-@query(_seasonal_sql(True, _POINTS_SQL))
+@query(_seasonal_sql(True))
 def hw_mul_grid(spark, sf):
-    return _seasonal(spark, sf, "hw_mul", _POINTS)
+    return _seasonal(spark, sf, "hw_mul")
 
 
-@query(f"""WITH {sql.SCORES} SELECT item, fold, CAST(train_n AS INTEGER) AS fold_end_idx, model,
+@query(f"""WITH {_ALL_SCORES} SELECT item, fold, CAST(train_n AS INTEGER) AS fold_end_idx, model,
   {', '.join(sql.r4(m) for m in METRICS)} FROM fold_scores""")
 def fold_metrics(spark, sf):
-    return rounded(forecast.fold_metrics(closed_rows(spark, sf)), *METRICS)
+    return rounded(forecast.fold_metrics(five_models(spark, sf)), *METRICS)
 
 
-@query(f"""WITH {sql.SCORES} SELECT item, CAST(rank AS INTEGER) AS rank, model,
+@query(f"""WITH {_ALL_SCORES} SELECT item, CAST(rank AS INTEGER) AS rank, model,
   {', '.join(sql.r4(m) for m in METRICS)}, n_folds FROM board""")
 def leaderboard(spark, sf):
-    board = forecast.scoreboard(closed_rows(spark, sf))
+    board = forecast.scoreboard(five_models(spark, sf))
     return rounded(forecast.leaderboard(board), *METRICS)
 
 
@@ -201,73 +196,77 @@ def _wide_sql() -> str:
     for r in (1, 2, 3):
         cells.append(f"max(model) FILTER (rank = {r}) AS rank{r}_model")
         cells += [sql.r4(f"max({m}) FILTER (rank = {r})", f"rank{r}_{m}") for m in METRICS]
-    return f"WITH {sql.SCORES} SELECT item, {', '.join(cells)} FROM board GROUP BY 1"
+    return f"WITH {_ALL_SCORES} SELECT item, {', '.join(cells)} FROM board GROUP BY 1"
 
 
 @query(_wide_sql())
 def leaderboard_wide(spark, sf):
-    wide = forecast.leaderboard_wide(forecast.scoreboard(closed_rows(spark, sf)))
+    wide = forecast.leaderboard_wide(forecast.scoreboard(five_models(spark, sf)))
     return rounded(wide, *[f"rank{r}_{m}" for r in (1, 2, 3) for m in METRICS])
 
 
-@query(f"""WITH {sql.SCORES} SELECT p.item, p.week AS forecast_week_start, p.model AS model_used,
-  {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM preds p JOIN board b
+@query(f"""WITH {_ALL_SCORES} SELECT p.item, p.week AS forecast_week_start, p.model AS model_used,
+  {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM every p JOIN board b
   ON b.item = p.item AND b.model = p.model AND b.rank = 1 WHERE p.fold = 0""")
 def forecast_selected(spark, sf):
-    board = forecast.scoreboard(closed_rows(spark, sf))
+    board = forecast.scoreboard(five_models(spark, sf))
     return rounded(forecast.forecast_selected(board, P), "y_hat")
 
 
-@query(f"""WITH {sql.SCORES} SELECT p.item, p.week AS forecast_week_start, p.model AS model_used,
-  {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM preds p JOIN board b
+@query(f"""WITH {_ALL_SCORES} SELECT p.item, p.week AS forecast_week_start, p.model AS model_used,
+  {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM every p JOIN board b
   ON b.item = p.item AND b.model = p.model AND b.rank = 1 WHERE p.fold = 0 ORDER BY 1, 2 LIMIT 20""")
 def forecast_preview(spark, sf):
-    board = forecast.scoreboard(closed_rows(spark, sf))
+    board = forecast.scoreboard(five_models(spark, sf))
     first = profile.preview(forecast.forecast_selected(board, P), ["item", "forecast_week_start"])
     return rounded(first, "y_hat")
 
 
-@query(f"""WITH {sql.MODELS}, choice AS (
-    SELECT item, CASE WHEN item LIKE 'hot %' THEN 'WeekMean' WHEN item LIKE 'large %' THEN 'Unheard' ELSE 'RollMean(8w)' END AS model
+@query(f"""WITH {_EVERY}, choice AS (
+    SELECT item, CASE WHEN item LIKE 'hot %' THEN 'WeekMean' WHEN item LIKE 'large %' THEN 'Unheard' WHEN item LIKE 'small %' THEN 'HW-Add' WHEN item LIKE 'red %' THEN NULL ELSE 'RollMean(8w)' END AS model
     FROM items)
-  SELECT p.item, p.week AS forecast_week_start, c.model AS model_used, {sql.r4('greatest(p.yhat, 0)', 'y_hat')}
-  FROM choice c JOIN preds p ON p.item = c.item AND p.fold = 0
-   AND p.model = CASE WHEN c.model = 'Unheard' THEN 'SeasonalNaive' ELSE c.model END""")
+  SELECT p.item, p.week AS forecast_week_start, coalesce(c.model, 'SeasonalNaive') AS model_used, {sql.r4('greatest(p.yhat, 0)', 'y_hat')}
+  FROM choice c JOIN every p ON p.item = c.item AND p.fold = 0
+   AND p.model = CASE WHEN c.model = 'Unheard' OR c.model IS NULL THEN 'SeasonalNaive' ELSE c.model END""")
 def forecast_by_name(spark, sf):
     item = F.col("item")
-    name = F.when(item.like("hot %"), "WeekMean").when(item.like("large %"), "Unheard").otherwise("RollMean(8w)")
-    rows = closed_rows(spark, sf)
-    choice = item_groups(spark, sf).select("item", name.alias("model"))
+    name = F.when(item.like("hot %"), "WeekMean").when(item.like("large %"), "Unheard")
+    name = name.when(item.like("small %"), "HW-Add").otherwise("RollMean(8w)")
+    rows = five_models(spark, sf)
+    # Some items have no named model: they get the default.
+    choice = item_groups(spark, sf).where(~item.like("red %")).select("item", name.alias("model"))
     return rounded(forecast.forecast_by_name(rows, choice, P), "y_hat")
 
 
-@query(f"""WITH {sql.MODELS}, ordered AS (
-    SELECT *, CASE model WHEN 'SeasonalNaive' THEN 1 WHEN 'RollMean(8w)' THEN 2 ELSE 3 END AS priority
-    FROM preds WHERE fold = 0),
+@query(f"""WITH {_EVERY}, ordered AS (
+    SELECT *, CASE model WHEN 'HW-Mul' THEN 1 WHEN 'HW-Add' THEN 2 WHEN 'SeasonalNaive' THEN 3
+      WHEN 'RollMean(8w)' THEN 4 ELSE 5 END AS priority
+    FROM every WHERE fold = 0),
   usable AS (SELECT item, min(priority) AS priority FROM (
     SELECT item, priority FROM ordered GROUP BY ALL HAVING bool_and(isfinite(yhat))) GROUP BY 1)
   SELECT item, week AS forecast_week_start, model AS model_used, {sql.r4('greatest(yhat, 0)', 'y_hat')}
   FROM ordered JOIN usable USING (item, priority)""")
 def forecast_priority(spark, sf):
-    order = tuple(m for m in forecast.PRIORITY if m in CLOSED_FORM)
-    return rounded(forecast.forecast_priority(closed_rows(spark, sf), P, order), "y_hat")
+    return rounded(forecast.forecast_priority(five_models(spark, sf), P), "y_hat")
 
 
-@query(f"""WITH {sql.MODELS} SELECT item, week AS forecast_week_start,
+@query(f"""WITH {_EVERY} SELECT item, week AS forecast_week_start,
   {sql.r4("max(yhat) FILTER (model = 'SeasonalNaive')", '"SeasonalNaive"')},
   {sql.r4("max(yhat) FILTER (model = 'WeekMean')", '"WeekMean"')},
-  {sql.r4("max(yhat) FILTER (model = 'RollMean(8w)')", '"RollMean(8w)"')}
-  FROM preds WHERE fold = 0 GROUP BY 1, 2""")
+  {sql.r4("max(yhat) FILTER (model = 'RollMean(8w)')", '"RollMean(8w)"')},
+  {sql.r4("max(yhat) FILTER (model = 'HW-Add')", '"HW-Add"')},
+  {sql.r4("max(yhat) FILTER (model = 'HW-Mul')", '"HW-Mul"')}
+  FROM every WHERE fold = 0 GROUP BY 1, 2""")
 def forecast_details_wide(spark, sf):
-    rows = forecast.with_model_columns(folds(series(panel(spark, sf)), P), P, CLOSED_FORM)
+    rows = forecast.with_model_columns(folds(series(panel(spark, sf)), P), P)
     wide = forecast.forecast_details(rows)
     return wide.select("item", "forecast_week_start", *[r4(f"`{m}`").alias(m) for m in wide.columns[2:]])
 
 
-@query(f"""WITH {sql.MODELS} SELECT item, CAST(train_n AS INTEGER) AS fold_end_idx, week, model,
-  {sql.r4('actual', 'y_true')}, {sql.r4('yhat', 'y_hat')} FROM preds WHERE fold = 1""")
+@query(f"""WITH {_EVERY} SELECT item, CAST(train_n AS INTEGER) AS fold_end_idx, week, model,
+  {sql.r4('actual', 'y_true')}, {sql.r4('yhat', 'y_hat')} FROM every WHERE fold = 1""")
 def lastfold_details(spark, sf):
-    return rounded(forecast.last_fold_details(closed_rows(spark, sf)), "y_true", "y_hat")
+    return rounded(forecast.last_fold_details(five_models(spark, sf)), "y_true", "y_hat")
 
 
 @query(f"""WITH {sql.FOLDS} SELECT (SELECT count(*) FROM items) AS items,
@@ -282,12 +281,6 @@ def result_shapes(spark, sf):
     )
 
 
-# All five models, with the parameter search of the smoothing models written as recursion.
-
-_EVERY = smoothing_sql.all_models()
-_ALL_SCORES = smoothing_sql.all_scores()
-
-
 @query(f"""WITH {_EVERY} SELECT item, fold, week, model, {sql.r4('yhat', 'y_hat')} FROM every
   WHERE model LIKE 'HW-%'""")
 def hw_forecast(spark, sf):
@@ -296,7 +289,7 @@ def hw_forecast(spark, sf):
     return rounded(rows.select("item", "fold", "model", F.inline_outer(zipped)), "y_hat")
 
 
-@query(_wide_sql().replace(sql.SCORES, _ALL_SCORES))
+@query(_wide_sql())
 def leaderboard_all_models(spark, sf):
     wide = forecast.leaderboard_wide(forecast.scoreboard(forecast.model_rows(panel(spark, sf), P)))
     return rounded(wide, *[f"rank{r}_{m}" for r in (1, 2, 3) for m in METRICS])
@@ -355,15 +348,32 @@ def val_metrics_gs(spark, sf):
     return rounded(metrics, "wape", "smape", "mae")
 
 
-@query(f"""WITH {sql.SERIES}, {_NAIVE}, m AS ({_measures('rolled')}), b AS ({_measures('naive')})
-  SELECT m.item, m.is_total, """ + ", ".join(
-    f"{sql.r4(f'm.{c}', f'{c}_model')}, {sql.r4(f'b.{c}', f'{c}_base')}, {sql.r4(f'(b.{c} - m.{c}) / b.{c}', f'{c}_gain')}"
-    for c in evaluation.COMPARED
-) + """ FROM m JOIN b ON m.is_total = b.is_total AND m.item IS NOT DISTINCT FROM b.item""")
+def _gains_sql() -> str:
+    """Both sides on the (item, predicted week) rows they share, and how many each has."""
+    cells = {
+        "wape": "sum(abs(y - {0}) ) FILTER (ok) / sum(abs(y)) FILTER (ok)",
+        "smape": "avg(2 * abs(y - {0}) / (abs(y) + abs({0}) + 1e-9)) FILTER (ok)",
+        "mae": "avg(abs(y - {0})) FILTER (ok)",
+    }
+    both = ", ".join(f"{e.format(c)} AS {k}_{side}" for k, e in cells.items() for side, c in (("model", "m"), ("base", "b")))
+    out = ", ".join(
+        f"{sql.r4(f'{k}_model')}, {sql.r4(f'{k}_base')}, {sql.r4(f'({k}_base - {k}_model) / {k}_base', f'{k}_gain')}"
+        for k in cells
+    )
+    return f"""WITH {sql.SERIES}, {_NAIVE}, joined AS (
+      SELECT item, week, r.y, r.y_hat AS m, n.y_hat AS b, r.y_hat IS NOT NULL AND n.y_hat IS NOT NULL AS ok
+      FROM rolled r FULL JOIN naive n USING (item, week)),
+    scores AS (SELECT item, CAST(grouping(item) AS INTEGER) AS is_total, {both}, count(m) AS n_model,
+      count(b) AS n_base, count(*) FILTER (ok) AS n_common FROM joined GROUP BY GROUPING SETS ((item), ()))
+    SELECT item, is_total, n_model, n_base, n_common, {out} FROM scores"""
+
+
+@query(_gains_sql())
 def improvement(spark, sf):
     targets = target_panel(stored_weekly(spark, sf))
-    model = evaluation.metrics_overall_and_by_item(rolled_validation(targets))
-    base = evaluation.metrics_overall_and_by_item(naive_validation(targets))
+    model, base = (
+        held(targets).withColumnRenamed("week", "forecast_week") for held in (rolled_validation, naive_validation)
+    )
     gains = evaluation.improvement(model, base)
     return rounded(gains, *[f"{c}_{k}" for c in evaluation.COMPARED for k in ("model", "base", "gain")])
 
@@ -408,6 +418,25 @@ def substitutes(spark, sf):
     return rounded(found, "saving_rate", "price_vol_8", "own_vol_8")
 
 
+_OVERLAP = _STATE.replace(
+    "split_part(s.item, ' ', 2) AS grp", "unnest(['all', split_part(s.item, ' ', 2)]) AS grp"
+)
+
+
+@query(f"""WITH {_OVERLAP}, pairs AS (
+    SELECT item, substitute, min(grp) AS grp, min(saving_rate) AS saving_rate, min(price_vol_8) AS price_vol_8,
+           min(own_vol_8) AS own_vol_8 FROM ranked GROUP BY 1, 2),
+  best AS (SELECT *, row_number() OVER (
+    PARTITION BY item ORDER BY saving_rate DESC, price_vol_8, substitute) AS rank FROM pairs)
+  SELECT grp, item, CAST(rank AS INTEGER) AS rank, substitute, {sql.r4('saving_rate')}, {sql.r4('price_vol_8')},
+  {sql.r4('own_vol_8')} FROM best WHERE rank <= 5""")
+def substitutes_overlapping(spark, sf):
+    """Every item in its own group and in one of all items."""
+    state = recommendation_inputs(spark, sf)
+    both = state.unionByName(state.withColumn("grp", F.lit("all")))
+    return rounded(substitutes_of(both, RULES), "saving_rate", "price_vol_8", "own_vol_8")
+
+
 @query(f"""WITH {_STATE} SELECT
   {sql.r4('100.0 * count(DISTINCT item) / (SELECT count(*) FROM state)', 'coverage_pct')},
   {sql.r4('100 * sum(saving_rate) / count(*)', 'mean_saving_pct')},

@@ -120,13 +120,12 @@ def cluster_series(spark, sf):
 
 @query(f"""WITH {sql.WEEKLY} SELECT item, CAST(isoyear(week) AS INTEGER) AS year,
   CAST(weekofyear(week) AS INTEGER) AS week_no, {sql.r4('unit_price_week', 'price')}
-  FROM weekly WHERE split_part(item, ' ', 2) = 'gear' AND unit_price_week IS NOT NULL""")
+  FROM weekly WHERE unit_price_week IS NOT NULL""")
 def clean_series(spark, sf):
     raw = weekly_table(spark, sf).select(
         "item", iso_year(F.col("week")).alias("y"), F.weekofyear("week").alias("w"), "unit_price_week"
     )
-    items = table(spark, sf, "part").where(second_word("p_name") == "gear").select(F.col("p_name").alias("item"))
-    return rounded(wide.clean_series(raw, items, "item", "y", "w", "unit_price_week"), "price")
+    return rounded(wide.clean_series(raw, None, "item", "y", "w", "unit_price_week"), "price")
 
 
 @query("""SELECT p_name AS item, min_by(l_orderkey, (l_orderkey, l_linenumber)) AS first_order,
@@ -382,7 +381,7 @@ TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 @query(_mix_sql())
 def cluster_mix(spark, sf):
-    return clusters.cluster_mix(ingredients(spark, sf), TYPES)
+    return clusters.cluster_mix(ingredients(spark, sf))
 
 
 @query("""SELECT p_partkey AS item FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""")

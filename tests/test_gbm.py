@@ -36,11 +36,13 @@ def test_beats_the_seasonal_naive(spark, table, prepared, tmp_path):
     model = gbm.fit(evaluation.until(prepared, split), PARAMS)
     held = gbm.validation_predictions(model, evaluation.between(prepared, str(monday(209)), end))
     mine = evaluation.metrics_overall_and_by_item(held)
-    naive = evaluation.between(calendar_naive(target_panel(table)), str(monday(210)), str(monday(259)))
-    base = evaluation.metrics_overall_and_by_item(naive)
-    total = evaluation.improvement(mine, base).where("is_total = 1").first()
+    naive = evaluation.between(calendar_naive(target_panel(table)), str(monday(208)), str(monday(259)))
+    gains = evaluation.improvement(held, naive.withColumnRenamed("week", "forecast_week"))
+    total = gains.where("is_total = 1").first()
     assert total.item is None and total.wape_gain > 0 and total.mae_gain > 0
-    assert evaluation.improvement(mine, base).count() == 5
+    # The baseline has two more predicted weeks of each of the four items.
+    assert (total.n_model, total.n_base, total.n_common) == (200, 208, 200)
+    assert gains.count() == 5
 
     weights = [r.importance for r in model.importances().collect()]
     assert sum(weights) == pytest.approx(1) and weights == sorted(weights, reverse=True)
@@ -55,12 +57,27 @@ def test_beats_the_seasonal_naive(spark, table, prepared, tmp_path):
     assert {(r.forecast_week_start, r.pred_price > 0) for r in next_week.collect()} == {(monday(260), True)}
 
 
-def test_many_items_enter_by_their_mean(spark, prepared):
-    few = GbmParams(rounds=2, min_child_samples=5, max_item_categories=2)
-    model = gbm.fit(evaluation.until(prepared, str(monday(208))), few)
-    assert model.item_means is not None and model.inputs[-1] == "item_mean"
-    stranger = prepared.where("item = 'item1'").limit(1).withColumn("item", F.lit("new"))
-    assert model.predict(stranger).first().pred_price > 0
+def test_item_encoding_sees_only_the_past(spark, table):
+    rows = gbm.encode_items(weekly_features(table)).where("item = 'item1'").orderBy("week").collect()
+    prices = [r.log_price for r in rows]
+    assert rows[0][gbm.ITEM_ENCODING] == prices[0]
+    for i in (1, 2, 50):
+        assert rows[i][gbm.ITEM_ENCODING] == pytest.approx(np.mean(prices[1 : i + 1]))
+
+
+def test_a_thousand_items_score_alike_after_loading(spark, tmp_path):
+    shape = weekly(spark, [("x", i, 10.0, 1000.0 + 50 * (i % 7)) for i in range(20)]).drop("item")
+    many = spark.range(1000).select(F.concat(F.lit("item"), "id").alias("item"), (F.col("id") % 9 + 1).alias("_k"))
+    rows = many.crossJoin(shape).withColumn("unit_price_week", F.col("unit_price_week") * F.col("_k")).drop("_k")
+    prepared = gbm.training_table(weekly_features(rows))
+    model = gbm.fit(prepared, GbmParams(rounds=2, min_child_samples=5))
+    assert model.inputs[-1] == gbm.ITEM_ENCODING
+    save_model(model.pipeline, str(tmp_path / "m"))
+    again = gbm.GlobalModel(load_model(str(tmp_path / "m")), model.inputs)
+    one, two = (m.predict(prepared).select("item", "week", "log_pred") for m in (model, again))
+    assert one.count() > 1000 and one.exceptAll(two).isEmpty()
+    stranger = prepared.limit(1).withColumn("item", F.lit("new"))
+    assert again.predict(stranger).first().pred_price > 0
 
 
 def test_warm_up_policy(spark, table):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from marketweek.operators.substitutes import recommendation_kpis, substitutes
+from marketweek.operators.substitutes import group_thresholds, recommendation_kpis, shortlist, substitutes
 from marketweek.params import SubstituteParams
 
 STATE = "grp string, item string, pred_price double, qty_rollmean4 double, price_vol_8 double"
@@ -63,6 +63,17 @@ def test_kpis(spark):
 
 def test_short_list_is_cut_before_the_exchange(spark):
     rows = [("g", "a", 1.0, 1.0, 1.0)]
-    plan = substitutes(spark.createDataFrame(rows, STATE))._jdf.queryExecution().executedPlan().toString()
+    state = spark.createDataFrame(rows, STATE)
+    lists = shortlist(state, group_thresholds(state, SubstituteParams()), SubstituteParams())
+    plan = lists._jdf.queryExecution().executedPlan().toString()
     assert ", Partial" in plan and plan.count("WindowGroupLimit") == 2
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_one_list_for_an_item_in_several_groups(spark):
+    rows = [(g, f"i{k}", 100.0 - 5 * k, 1.0, 0.1) for g in ("a", "b") for k in range(8)]
+    rows += [("c", "i0", 100.0, 1.0, 0.1), ("c", "solo", 50.0, 1.0, 0.1)]
+    found = substitutes(spark.createDataFrame(rows, STATE)).where("item = 'i0'").orderBy("rank").collect()
+    assert [r["rank"] for r in found] == [1, 2, 3, 4, 5]
+    assert [r.substitute for r in found] == ["solo", "i7", "i6", "i5", "i4"]
+    assert [r.grp for r in found] == ["c", "a", "a", "a", "a"]
