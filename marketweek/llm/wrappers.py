@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 import re
 from html.parser import HTMLParser
@@ -45,6 +46,10 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 PAGES, SHARE, ARTICLE_SHARE = 3, 0.5, 0.9
 #: Pages that share more of their text with the reference than this are its copies: no evidence.
 COPY = 0.9
+#: Deeper elements hang side by side at this depth.
+DEPTH = 128
+#: Shapes and matches, and bytes of reference pages, that a worker remembers before it starts anew.
+REMEMBERED, REFERENCE_BYTES = 400_000, 16_000_000
 WORD = re.compile("[a-z0-9]+")
 
 
@@ -71,7 +76,11 @@ class TreeBuilder(HTMLParser):
         self.parts = []
         if text:
             top = self.open[-1][1]
-            top.children.append(Node("#text", top.keep, top.main, text))
+            self.holder().children.append(Node("#text", top.keep, top.main, text))
+
+    def holder(self) -> Node:
+        """What the next node hangs on: the innermost open element, or the one at ``DEPTH``."""
+        return self.open[min(len(self.open), DEPTH) - 1][1]
 
     def handle_starttag(self, tag, attrs):
         if tag not in BLOCKS:
@@ -101,7 +110,7 @@ class TreeBuilder(HTMLParser):
             marks = words & MARKS or (words & {"header"} and not above.main)
             drop = drop or bool(marks)
         node = Node(f"{tag}.{'.'.join(sorted(words))}", above.keep and not drop, main)
-        above.children.append(node)
+        self.holder().children.append(node)
         if tag not in VOID:
             self.open.append((tag, node))
 
@@ -140,32 +149,58 @@ def digest(node: Node):
 class Matcher:
     """Simple tree matching: the largest order-preserving match of two trees with equal labels.
 
-    Sizes of matches depend on the shapes of subtrees only, so each pair of shapes is matched
-    once, however often it occurs.
+    Matches depend on the shapes of subtrees only, so each pair of shapes is matched once,
+    however often it occurs on a page or on others. Equal shapes match whole.
     """
 
     def __init__(self):
         self.shapes: dict = {}
-        self.sizes: dict = {}
         self.labels: list = []
         self.inner: list = []
+        self.nodes: list = []
+        self.sizes: dict = {}
+        self.matches: dict = {}
+
+    def __len__(self) -> int:
+        return len(self.shapes) + len(self.sizes) + sum(map(len, self.matches.values()))
 
-    def shape(self, tree) -> int:
-        """Number of the tree's shape; the shapes of a node's children are kept with it."""
-        key = (tree[0], tuple(self.shape(c) for c in tree[1])) if tree[0] != "#text" else ("#text", ())
+    def shaped(self, tree, count=None) -> tuple:
+        """``(shape, tree, number, children)``; texts are numbered in page order."""
+        count = itertools.count() if count is None else count
+        if tree[0] == "#text":
+            children, key, number = (), ("#text", ()), next(count)
+        else:
+            children, number = [self.shaped(c, count) for c in tree[1]], -1
+            key = (tree[0], tuple(c[0] for c in children))
         if key not in self.shapes:
             self.shapes[key] = len(self.labels)
             self.labels.append(key[0])
             self.inner.append(key[1])
-        return self.shapes[key]
+            self.nodes.append(1 + sum(self.nodes[c] for c in key[1]))
+        return self.shapes[key], tree, number, children
 
     def size(self, a: int, b: int) -> int:
+        """Nodes in the largest match of two shapes."""
+        if a == b:
+            return self.nodes[a]
         if self.labels[a] != self.labels[b]:
             return 0
         if (a, b) not in self.sizes:
-            self.sizes[a, b] = 1 + int(self.table(self.inner[a], self.inner[b])[-1, -1])
+            self.sizes[a, b] = 1 + self.best(self.inner[a], self.inner[b])
         return self.sizes[a, b]
 
+    def best(self, x, y) -> int:
+        """Nodes in the largest match of two lists; equal beginnings and ends match each other."""
+        lo, total = 0, 0
+        while lo < len(x) and lo < len(y) and x[lo] == y[lo]:
+            total += self.nodes[x[lo]]
+            lo += 1
+        i, j = len(x), len(y)
+        while i > lo and j > lo and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            total += self.nodes[x[i]]
+        return total + (int(self.table(x[lo:i], y[lo:j])[-1, -1]) if i > lo and j > lo else 0)
+
     def table(self, x, y) -> np.ndarray:
         """Best matches of all beginnings of two lists of shapes."""
         best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
@@ -176,49 +211,66 @@ class Matcher:
             best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], taken))
         return best
 
-    def align(self, a, b):
-        """Pairs of matched children of two matched nodes, as indices."""
-        x, y = [self.shape(c) for c in a[1]], [self.shape(c) for c in b[1]]
-        best = self.table(x, y)
+    def align(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Pairs of matched children of two matched shapes, as indices."""
+        if (a, b) in self.matches:
+            return self.matches[a, b]
+        x, y = self.inner[a], self.inner[b]
         i, j, pairs = len(x), len(y), []
+        # Equal last children are part of a largest match; what they leave is searched.
+        while i and j and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        best = self.table(x[:i], y[:j]) if i and j else None
         while i and j:
             w = self.size(x[i - 1], y[j - 1])
             if w and best[i, j] == best[i - 1, j - 1] + w:
-                pairs.append((i - 1, j - 1))
                 i, j = i - 1, j - 1
+                pairs.append((i, j))
             elif best[i, j] == best[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
-        return pairs[::-1]
-
-
-def slots(reference, tree) -> list[tuple[int, tuple, tuple]]:
-    """Matched texts: (number of the reference's text in page order, its leaf, the tree's)."""
-    numbers: dict[int, int] = {}
-
-    def number(t):
-        if t[0] == "#text":
-            numbers[id(t)] = len(numbers)
-        else:
-            for c in t[1]:
-                number(c)
-
-    number(reference)
-    matcher, out, work = Matcher(), [], [(reference, tree)]
-    while work:
-        a, b = work.pop()
-        for i, j in matcher.align(a, b):
-            if a[1][i][0] == "#text":
-                out.append((numbers[id(a[1][i])], a[1][i], b[1][j]))
-            else:
-                work.append((a[1][i], b[1][j]))
-    return out
-
-
-def votes(reference, tree) -> list[tuple[int, bool, bool]]:
+        self.matches[a, b] = pairs
+        return pairs
+
+    def slots(self, reference: tuple, tree: tuple) -> list[tuple[tuple, tuple]]:
+        """Matched texts of two shaped trees, as pairs of shaped leaves."""
+        out, work = [], [(reference, tree)]
+        while work:
+            a, b = work.pop()
+            for i, j in self.align(a[0], b[0]):
+                pair = a[3][i], b[3][j]
+                (out if pair[0][2] >= 0 else work).append(pair)
+        return out
+
+
+class References:
+    """A worker's matcher, and the reference pages it has read, forgotten when they grow large."""
+
+    def __init__(self, entries: int = REMEMBERED, size: int = REFERENCE_BYTES):
+        self.most, self.most_bytes = entries, size
+        self.reset()
+
+    def reset(self):
+        self.matcher, self.known, self.bytes = Matcher(), {}, 0
+
+    def get(self, packed: bytes) -> tuple:
+        """What ``packed`` holds, its tree shaped: ``(shaped tree, constant slots)``."""
+        if len(self.matcher) > self.most or self.bytes > self.most_bytes:
+            self.reset()
+        if packed not in self.known:
+            tree, constant = pickle.loads(packed)
+            self.known[packed] = self.matcher.shaped(tree), constant
+            self.bytes += len(packed)
+        return self.known[packed]
+
+
+def votes(references: References, packed: bytes, tree) -> list[tuple[int, bool, bool]]:
     """``(slot, constant, in article)`` of one page; slot -1 says that the page took part."""
-    pairs = slots(reference, tree)
+    reference, _ = references.get(packed)
+    matcher = references.matcher
+    pairs = [(a[2], a[1], b[1]) for a, b in matcher.slots(reference, matcher.shaped(tree))]
     total = sum(b[2] for _, _, b in pairs)
     same = sum(b[2] for _, a, b in pairs if a[1] == b[1])
     if total and same > COPY * total:
@@ -233,25 +285,19 @@ def leaves(node: Node):
         yield from leaves(c)
 
 
-def main_text(html: str | None, wrapper: bytes | None) -> str:
+def main_text(html: str | None, wrapper: bytes | None, references: References | None = None) -> str:
     """The page's blocks without template and without what its markup sets apart."""
     root = parse(html)
     texts = list(leaves(root))
     template = set()
-    if wrapper is not None:
-        reference, constant = pickle.loads(wrapper)
-        tree = digest(root)
-        order: dict[int, int] = {}
-
-        def number(t):
-            if t[0] == "#text":
-                order[id(t)] = len(order)
-            else:
-                for c in t[1]:
-                    number(c)
-
-        number(tree)
-        template = {order[id(b)] for n, a, b in slots(reference, tree) if n in constant and a[1] == b[1]}
+    if wrapper is not None and texts:
+        references = references or References()
+        reference, constant = references.get(wrapper)
+        if constant:
+            tree = references.matcher.shaped(digest(root))
+            template = {
+                b[2] for a, b in references.matcher.slots(reference, tree) if a[2] in constant and a[1][1] == b[1][1]
+            }
     kept = [(n, k) for k, n in enumerate(texts) if n.keep and k not in template]
     if any(n.main for n, _ in kept):
         kept = [(n, k) for n, k in kept if n.main]
@@ -268,7 +314,7 @@ def wrapped(pages: DataFrame) -> DataFrame:
 
     def digests(frames):
         for frame in frames:
-            yield frame[["host", "page_id"]].assign(tree=[pickle.dumps(digest(parse(h))) for h in frame["html"]])
+            yield frame[["host", "page_id"]].assign(tree=[pickle.dumps((digest(parse(h)), None)) for h in frame["html"]])
 
     trees = staged(
         pages.where("html is not null and host is not null").select("host", "page_id", "html")
@@ -277,12 +323,13 @@ def wrapped(pages: DataFrame) -> DataFrame:
     references = staged(trees.groupBy("host").agg(F.min_by("tree", "page_id").alias("reference")), "references")
 
     def voted(frames):
+        known = References()
         for frame in frames:
             rows = [
                 (host, *vote)
                 for host, tree, reference in zip(frame["host"], frame["tree"], frame["reference"])
                 if tree != reference
-                for vote in votes(pickle.loads(reference), pickle.loads(tree))
+                for vote in votes(known, reference, pickle.loads(tree)[0])
             ]
             yield pd.DataFrame(rows, columns=["host", "slot", "constant", "main"])
 
@@ -304,7 +351,7 @@ def wrapped(pages: DataFrame) -> DataFrame:
                     s["slot"] for s in found
                     if s["slot"] >= 0 and s["n"] >= PAGES and s["n"] >= (ARTICLE_SHARE if s["main"] else SHARE) * pages_
                 )
-                out.append(pickle.dumps((pickle.loads(reference), constant)))
+                out.append(pickle.dumps((pickle.loads(reference)[0], constant)))
             yield frame[["host"]].assign(wrapper=out)
 
     return references.join(lists, "host", "left").mapInPandas(wrapper, "host string, wrapper binary")
@@ -331,8 +378,9 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = rows.join(staged(wrapped(rows), "wrappers"), "host", "left")
 
     def run(frames):
+        known = References()
         for frame in frames:
-            texts = [main_text(h, w) for h, w in zip(frame["html"], frame["wrapper"])]
+            texts = [main_text(h, w, known) for h, w in zip(frame["html"], frame["wrapper"])]
             yield frame[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
     return joined.select("page_id", "url", "html", "wrapper").mapInPandas(

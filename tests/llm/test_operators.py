@@ -211,6 +211,49 @@ def test_wrappers(spark):
     assert wrappers.extract(df.where("page_id < 0")).count() == 0
 
 
+def _tree(rng, depth=3):
+    if depth == 0 or rng.random() < 0.3:
+        return ("#text", int(rng.integers(3)), 1, False)
+    return (rng.choice(["div", "p", "ul"]), [_tree(rng, depth - 1) for _ in range(rng.integers(0, 5))])
+
+
+def _largest(a, b):
+    """Largest match of two trees by plain recursion."""
+    if a[0] != b[0]:
+        return 0
+    if a[0] == "#text":
+        return 1
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), _largest(x[0], y[0]) + best(x[1:], y[1:]))
+
+    return 1 + best(a[1], b[1])
+
+
+def test_tree_matching_is_largest():
+    rng = np.random.default_rng(5)
+    matcher = wrappers.Matcher()
+    for _ in range(60):
+        a, b = ("body", [_tree(rng) for _ in range(4)]), ("body", [_tree(rng) for _ in range(4)])
+        x, y = matcher.shaped(a), matcher.shaped(b)
+        assert matcher.size(x[0], y[0]) == _largest(a, b)
+        pairs = matcher.align(x[0], y[0])
+        assert sum(matcher.size(x[3][i][0], y[3][j][0]) for i, j in pairs) + 1 == _largest(a, b)
+        assert all(i > k and j > m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+def test_forgetful_references_and_deep_pages():
+    pages = [f"<body><nav>n</nav><div>same</div>{'<p>x %d</p>' % k * (k % 4)}</body>" for k in range(12)]
+    packed = wrappers.pickle.dumps((wrappers.digest(wrappers.parse(pages[1])), frozenset({1})))
+    large, none = wrappers.References(), wrappers.References(0, 0)
+    assert [wrappers.main_text(p, packed, large) for p in pages] == [wrappers.main_text(p, packed, none) for p in pages]
+    assert wrappers.main_text(pages[2], packed, large) == "x 2\nx 2"
+    deep = "<div>" * 3000 + "a<p>b</p>c" + "</div>" * 3000
+    assert wrappers.main_text(deep, packed) == "a\nb\nc"
+
+
 def test_slots(corpus, empty, spark, tmp_path):
     out = slots.shard(corpus, shards=3).toPandas()
     rows = corpus.toPandas()
