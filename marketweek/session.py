@@ -11,6 +11,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # For source files in encodings outside Spark's short list.
+    "spark.sql.legacy.javaCharsets": "true",
 }
 
 

@@ -59,6 +59,10 @@ def group_files(
     return [(encoding, files) for (encoding, _), files in found.items()]
 
 
+#: Set by ``session.configured``; reading changes no setting of the session.
+CHARSETS = "spark.sql.legacy.javaCharsets"
+
+
 def read_parts(
     spark: SparkSession, paths: str | Sequence[str], encoding: str | None = None
 ) -> list[DataFrame]:
@@ -71,7 +75,8 @@ def read_parts(
     groups = [(encoding, paths)] if encoding else group_files(spark, paths)
     if any(name.lower() == FALLBACK_ENCODING for name, _ in groups):
         # Spark 4 accepts only a short list of encodings unless this is on.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        if spark.conf.get(CHARSETS, "false") != "true":
+            raise ValueError(f"files in {FALLBACK_ENCODING} need a session with {CHARSETS} on: session.configured sets it")
     if not groups:
         raise ValueError(f"no data in {paths}")
     return [

@@ -196,6 +196,15 @@ def price_outliers(spark, sf):
     return rounded(found.select("item", "week", "unit_price_week"), "unit_price_week")
 
 
+@query(f"""WITH {sql.WEEKLY}, {_BOX}
+  SELECT w.item, w.week, {sql.r4('w.unit_price_week', 'unit_price_week')}
+  FROM weekly w JOIN box USING (item)
+  WHERE unit_price_week < q1 - 1.5 * (q3 - q1) OR unit_price_week > q3 + 1.5 * (q3 - q1)""")
+def price_outliers_all(spark, sf):
+    found = profile.price_outliers(stored_weekly(spark, sf))
+    return rounded(found.select("item", "week", "unit_price_week"), "unit_price_week")
+
+
 @query(f"""WITH {sql.WEEKLY} SELECT item, count(*) AS n, {sql.r4('corr(qty_in_week, unit_price_week)', 'corr')},
   {sql.r4('regr_slope(unit_price_week, qty_in_week)', 'slope')}, CAST(grouping(item) AS INTEGER) AS is_total
   FROM weekly WHERE unit_price_week IS NOT NULL GROUP BY GROUPING SETS ((item), ())""")

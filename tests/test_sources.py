@@ -88,3 +88,15 @@ def test_stage_report_and_rules(spark, tmp_path):
     rules = rule_params(params)
     assert rules.price_discount_threshold == 0.2 and rules.top_k == 5
     assert aliases.first().canonical == "a" and groups.first().grp == "g"
+
+
+def test_fallback_encoding_needs_its_setting(spark, tmp_path):
+    path = tmp_path / "old.csv"
+    path.write_bytes("품목명,값\n사과,1\n".encode("cp949"))
+    spark.conf.set(readers.CHARSETS, "false")
+    try:
+        with pytest.raises(ValueError, match="javaCharsets"):
+            readers.read_parts(spark, str(path))
+    finally:
+        spark.conf.set(readers.CHARSETS, "true")
+    assert readers.read_csv(spark, str(path)).first()["품목명"] == "사과"
