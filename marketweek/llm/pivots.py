@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by an index of pivot permutations."""
+"""Near-duplicate vectors by an index of pivots with exact angular bounds."""
 
 from __future__ import annotations
 
@@ -12,11 +12,12 @@ from marketweek.llm.components import connected_components, spanning_forest
 from marketweek.llm.storage import ship, staged
 
 COSINE = 0.9
-#: Nearest pivots that describe a vector, and how many two linked vectors must share.
-PREFIX, SHARED = 8, 2
-#: Pivots are a sample of 4 times the root of the number of vectors, within these bounds.
+#: Candidates for pivots are a sample of 4 times the root of the number of vectors, within these bounds.
 MIN_PIVOTS, MAX_PIVOTS = 64, 16384
-BLOCK = 1024
+#: Vectors of a block: so many at least, at most, and bytes of its vectors in double precision.
+BLOCK, MAX_BLOCK, BLOCK_BYTES = 1024, 8192, 1 << 26
+#: Blocks wanted of a large table, and what rounding may add to a bound.
+BLOCKS, ROUNDING = 32, 1e-9
 
 
 def valid(vector: str):
@@ -31,83 +32,152 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
 
-def unit(rows) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in rows])
+def unit(x: np.ndarray) -> np.ndarray:
     # Scale before squaring, so that extreme components neither overflow nor vanish.
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def postings(table: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``(pivot, rep, copies, prefix, v)``: each vector in the lists of its nearest pivots.
+def unpacked(column, dim: int) -> np.ndarray:
+    """Unit vectors of packed rows."""
+    return unit(np.frombuffer(b"".join(column)).reshape(-1, dim))
 
-    ``prefix`` holds the nearest pivots. Pairs that share ``SHARED`` of them meet in the list of
-    the smallest one they share, which is never among the last of either's numbers.
+
+def leaders(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """Vectors of the sample that are further apart than twice the angle of a link.
+
+    Nearer pivots separate no vectors by ``reached``, so a crowded place gets few pivots. They
+    are in the order of a chain of neighbours.
     """
-    k = min(PREFIX, len(pivots))
+    apart = 2 * cosine * cosine - 1 if cosine > 0 else -1.0
+    chosen = np.zeros((0, sample.shape[1]))
+    for x in sample:
+        if not len(chosen) or (chosen @ x).max() < apart:
+            chosen = np.vstack([chosen, x])
+    left, order = np.ones(len(chosen), bool), [0]
+    left[0] = False
+    while left.any():
+        near = np.where(left, chosen @ chosen[order[-1]], -2)
+        order.append(int(np.argmax(near)))
+        left[order[-1]] = False
+    return chosen[order]
+
+
+def cells(table: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``(cell, near, rep, copies, v)``: each vector, packed, with its nearest pivot and the
+    cosine between them."""
+    dim = pivots.shape[1]
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            if not len(frame):
-                continue
             for lo in range(0, len(frame), 4096):
                 part = frame.iloc[lo : lo + 4096]
-                near = unit(part["v"]) @ pivots.T
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                ranked = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1), 1)
-                numbers = np.sort(ranked, axis=1)
-                lists = max(1, k - SHARED + 1)
-                row = np.repeat(np.arange(len(part)), lists)
+                v = np.array([np.asarray(x, np.float64) for x in part["v"]]).reshape(-1, dim)
+                near = unit(v) @ pivots.T
+                home = near.argmax(axis=1)
+                yield pd.DataFrame({
+                    "cell": home.astype(np.int32), "near": near[np.arange(len(part)), home],
+                    "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "v": [x.tobytes() for x in v],
+                })
+
+    return table.mapInPandas(run, "cell int, near double, rep long, copies long, v binary")
+
+
+def numbered(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: large cells are split, small neighbours
+    share one."""
+    first, count, at, fill = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for k, n in enumerate(sizes):
+        if fill and fill + n > block:
+            at, fill = at + 1, 0
+        count[k], first[k] = max(1, -(-n // block)), at
+        if count[k] > 1:
+            at, fill = at + count[k], 0
+        else:
+            fill += n
+    return first, count
+
+
+def reached(near: np.ndarray, home: np.ndarray, pivots: np.ndarray, radius: np.ndarray, cosine: float) -> np.ndarray:
+    """Which cells may hold a vector within the angle of a link, by row and cell.
+
+    A vector is further than the angle from all of a cell if it is further from the plane
+    between its own pivot and the cell's, or further from the cell's pivot than the angle and
+    the cell's radius together. No link crosses such a bound, whatever the pivots.
+    """
+    angle = np.arccos(np.clip(cosine, -1, 1))
+    out = np.arccos(np.clip(near, -1, 1)) <= radius + angle + ROUNDING ** 0.5
+    if cosine > 0:
+        own = near[np.arange(len(near)), home]
+        wide = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))[home]
+        out &= own[:, None] - near <= np.sin(angle) * wide + ROUNDING
+    out[np.arange(len(near)), home] = True
+    return out
+
+
+def dealt(rows: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray, block: int, cosine: float) -> DataFrame:
+    """``(i, j, block, rep, copies, v)``: each vector once for every block that it may link with."""
+    dim = pivots.shape[1]
+    first, count = numbered(sizes, block)
+    ends = first + count
+    blocks = int(ends.max())
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for lo in range(0, len(frame), 1024):
+                part = frame.iloc[lo : lo + 1024]
+                home, rep = part["cell"].to_numpy(), part["rep"].to_numpy()
+                to = reached(unpacked(part["v"], dim) @ pivots.T, home, pivots, radius, cosine) & (sizes > 0)
+                # Sums of +1 at the first block of a reached cell and -1 after its last.
+                steps = np.zeros((len(part), blocks + 1), np.int64)
+                row, cell = np.nonzero(to)
+                np.add.at(steps, (row, first[cell]), 1)
+                np.add.at(steps, (row, ends[cell]), -1)
+                row, other = np.nonzero(np.cumsum(steps, axis=1)[:, :-1])
+                spread = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+                own = (first[home] + spread % count[home])[row]
+                v = part["v"].to_numpy()
                 yield pd.DataFrame({
-                    "pivot": numbers[:, :lists].reshape(-1).astype(np.int32),
-                    "rep": part["rep"].to_numpy()[row], "copies": part["copies"].to_numpy()[row],
-                    "prefix": [ranked[i].astype(np.int32) for i in row],
-                    "v": [part["v"].iloc[i] for i in row],
+                    "i": np.minimum(own, other).astype(np.int32), "j": np.maximum(own, other).astype(np.int32),
+                    "block": own.astype(np.int32), "rep": rep[row], "copies": part["copies"].to_numpy()[row], "v": v[row],
                 })
 
-    kind = dict(table.dtypes)["v"]
-    return table.mapInPandas(run, f"pivot int, rep long, copies long, prefix array<int>, v {kind}")
+    return rows.mapInPandas(run, "i int, j int, block int, rep long, copies long, v binary")
 
 
-def compared(frame, cosine: float):
-    """Links of one pair of blocks of one list: link counts by row and a spanning forest.
+def compared(frame, cosine: float, dim: int):
+    """Links of one pair of blocks: link counts by row and a spanning forest.
 
-    Shared pivots are counted first. A pair is taken up only in the list of the smallest pivot
-    it shares, so no pair counts twice; what is left is verified by its cosine.
+    A vector has one block, so no pair of vectors meets in two pairs of blocks.
     """
     import pandas as pd
 
-    pivot, i, j = (int(frame[c].iloc[0]) for c in ("pivot", "i", "j"))
+    i, j = (int(frame[c].iloc[0]) for c in ("i", "j"))
     a = frame["block"].to_numpy() == i
     first, second = frame[a], frame if i == j else frame[~a]
     if not len(first) or not len(second):
         return pd.DataFrame({"rep": [], "links": [], "other": []})
-
-    def held(rows, numbers):
-        table = np.zeros((len(rows), len(numbers)), np.float32)
-        prefix = np.array([np.asarray(p) for p in rows["prefix"]])
-        at = np.minimum(np.searchsorted(numbers, prefix), len(numbers) - 1)
-        row = np.repeat(np.arange(len(rows)), prefix.shape[1]).reshape(prefix.shape)
-        hit = numbers[at] == prefix
-        table[row[hit], at[hit]] = 1
-        return table
-
-    numbers = np.unique(np.concatenate([np.asarray(p) for p in first["prefix"]]))
-    x, y = held(first, numbers), held(second, numbers)
-    below = numbers < pivot
-    wanted = min(SHARED, x.sum(1).max())
-    link = (x @ y.T >= wanted) & (x[:, below] @ y[:, below].T == 0)
-    link &= unit(first["v"]) @ unit(second["v"]).T >= cosine
-    if i == j:
-        link &= first["rep"].to_numpy()[:, None] < second["rep"].to_numpy()[None, :]
-    left = link @ second["copies"].to_numpy()
-    right = first["copies"].to_numpy() @ link
-    p, q = np.nonzero(link)
-    n = len(first)
-    forest = spanning_forest(p, q if i == j else q + n, n if i == j else n + len(second))
+    x, y = unpacked(first["v"], dim), unpacked(second["v"], dim)
     ra, rb = first["rep"].to_numpy(), second["rep"].to_numpy()
+    ca, cb = first["copies"].to_numpy(), second["copies"].to_numpy()
+    left, right, pairs = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
+    for lo in range(0, len(x), BLOCK):
+        part = slice(lo, lo + BLOCK)
+        link = x[part] @ y.T >= cosine
+        if i == j:
+            link &= ra[part, None] < rb[None, :]
+        p, q = np.nonzero(link)
+        left[part] += np.bincount(p, cb[q], len(left[part])).astype(np.int64)
+        right += np.bincount(q, ca[part][p], len(y)).astype(np.int64)
+        p = p + lo
+        some = spanning_forest(p, q if i == j else q + len(x), len(x) if i == j else len(x) + len(y))
+        pairs.append((p[some], q[some]))
+    p, q = (np.concatenate(part) for part in zip(*pairs))
+    forest = spanning_forest(p, q if i == j else q + len(x), len(x) if i == j else len(x) + len(y))
     some, other = left > 0, right > 0
     return pd.DataFrame({
         "rep": np.concatenate([ra[some], rb[other], ra[p[forest]]]),
@@ -124,18 +194,16 @@ def linked(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     sample = table.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").collect()
     if not sample:
         return table.sparkSession.createDataFrame([], "rep long, links long, other long")
-    lists = staged(postings(table, unit([r.v for r in sample])), "postings")
+    pivots = leaders(unit(np.array([r.v for r in sample], np.float64)), cosine)
+    dim = pivots.shape[1]
+    rows = staged(cells(table, pivots), "cells")
+    sizes, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     # At most one row a pivot.
-    sizes = lists.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        lists.join(F.broadcast(sizes), "pivot")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-        .drop("blocks", "with")
-    )
-    return dealt.groupBy("pivot", "i", "j").applyInPandas(
-        lambda frame: compared(frame, cosine), "rep long, links long, other long"
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect():
+        sizes[r.cell], radius[r.cell] = r.n, math.acos(max(-1.0, min(1.0, r.near)))
+    block = max(1, min(max(BLOCK, min(MAX_BLOCK, n // BLOCKS)), BLOCK_BYTES // (8 * dim)))
+    return dealt(rows, pivots, sizes, radius, block, cosine).groupBy("i", "j").applyInPandas(
+        lambda frame: compared(frame, cosine, dim), "rep long, links long, other long"
     )
 
 
@@ -143,12 +211,12 @@ def near_vectors(df: DataFrame, vector: str = "embedding", vec_id: str = "vec_id
                  cosine: float = COSINE) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``df``.
 
-    Equal vectors are one entry of the index; their copies count as links. A vector is
-    described by its ``PREFIX`` nearest pivots, a bounded sample of the vectors; it is indexed
-    in their lists; long lists are compared in pairs of blocks, each a task of bounded size, and
-    give back counts and a forest instead of pairs. Every link has a cosine of ``cosine`` or
-    more in double precision; a pair sharing fewer than ``SHARED`` pivots is missed (recall is
-    tested against brute force).
+    Equal vectors are one entry of the index; their copies count as links. Vectors are dealt
+    into blocks by their nearest pivots, a bounded sample of the vectors, and every pair of
+    blocks is a task of bounded size that gives back counts and a forest instead of pairs. A
+    vector stays away from a block only if an angular bound rules out a link, so every pair
+    with a cosine of ``cosine`` or more in double precision is found, at any size and however
+    crowded a place is. Where no bound separates the vectors all pairs are compared.
 
     Null, zero and non-finite vectors, vectors of another length than most, and rows without
     id link with nothing: no links, a component of their own, kept (rows without id have none

@@ -154,6 +154,41 @@ def test_pivot_index_recall_and_counts(spark):
     assert pivots.near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("n, block", [(900, 64), (3000, 1024)])
+def test_pivot_index_finds_every_link_of_a_noisy_group(spark, monkeypatch, n, block):
+    # A third of all vectors around one centre; the rest in small groups and alone.
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    monkeypatch.setattr(pivots, "MAX_BLOCK", block)
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((20, 64))
+    spread = np.array([0.25 if k % 3 < 2 else 2.0 for k in range(n)])[:, None]
+    of = [0 if k % 3 == 0 else k % 20 for k in range(n)]
+    x = (centres[of] + spread * rng.standard_normal((n, 64))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = pivots.near_vectors(df).toPandas().sort_values("vec_id")
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    close = u @ u.T >= 0.9
+    label = np.arange(n)
+    while (label != (now := np.where(close, label, n).min(axis=1))).any():
+        label = now
+    assert out.n_links.tolist() == (close.sum(axis=1) - 1).tolist()
+    assert out.component_id.tolist() == label.tolist()
+
+
+def test_pivot_bounds_rule_out_only_far_cells():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen = pivots.leaders(x[:80], 0.9)
+    near = x @ chosen.T
+    home = near.argmax(axis=1)
+    radius = np.array([np.arccos(near[home == k, k].clip(-1, 1)).max(initial=0) for k in range(len(chosen))])
+    to = pivots.reached(near, home, chosen, radius, 0.9)
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert to[a, home[b]].all() and to.mean() < 0.5
+
+
 def test_attribution_adds_up(corpus, empty):
     out = attribution.attribute(corpus).toPandas()
     one = out[out.doc_id.notna() & (out.doc_id != 2)].groupby("doc_id")
