@@ -348,6 +348,19 @@ def test_passages(corpus, empty):
     assert windows.repeated_passages(empty).count() == 0 == windows.without_repeats(empty).count()
 
 
+def test_passages_of_lines_that_others_also_have(spark):
+    # A block of two lines in some documents; all others have one of the lines.
+    lines = [prose(200, 30), prose(201, 30)]
+    block = set(range(7, 600, 40))
+    rows = []
+    for k in range(600):
+        middle = lines if k in block else [lines[k % 2]]
+        rows.append((k, "\n".join([prose(1000 + k, 45), *middle, prose(3000 + k, 45)])))
+    out = windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    whole = out[(out.n_words >= 60) & out.other_doc_id.isin(block)]
+    assert set(whole.doc_id) == block - {min(block)}
+
+
 def test_compact_windows_cover_each_range_once():
     values = np.random.default_rng(1).integers(0, 2**63, 60).astype(np.uint64)
     l, c, r = windows.compact_windows(values, np.array([0, 25]), np.array([25, 60]), 6)
