@@ -361,6 +361,24 @@ def test_passages_of_lines_that_others_also_have(spark):
     assert set(whole.doc_id) == block - {min(block)}
 
 
+def test_passages_with_ambiguous_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    passage = some(50)
+    hashed = lambda *parts: windows.shingles(np.concatenate(parts))
+    x = hashed(some(20), passage, some(20))
+    head = hashed(some(5), passage[:20], some(30), passage, some(10))
+    tail = hashed(some(5), passage, some(30), passage[-25:], some(10))
+    both = hashed(passage[:27], some(30), passage[23:], some(9), passage, some(9), passage[:27], some(9), passage[23:])
+    for y, at in ((head, 55), (tail, 5), (both, 27 + 30 + 27 + 9)):
+        assert windows.similar_spans(x, y) == [(20, 66, at, at + 46, 1.0)]
+    for size in (1, 50):
+        monkeypatch.setattr(windows, "PAIRED", size)
+        u, v = rng.integers(0, 3, 40).astype(np.uint64), rng.integers(0, 3, 30).astype(np.uint64)
+        runs = {(int(a) + d, int(b) + d) for a, b, n in zip(*windows.diagonals(u, v)) for d in range(n)}
+        assert runs == set(zip(*(c.tolist() for c in np.nonzero(u[:, None] == v))))
+
+
 def test_compact_windows_cover_each_range_once():
     values = np.random.default_rng(1).integers(0, 2**63, 60).astype(np.uint64)
     l, c, r = windows.compact_windows(values, np.array([0, 25]), np.array([25, 60]), 6)
