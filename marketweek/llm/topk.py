@@ -18,8 +18,8 @@ MIN_PIVOTS, MAX_PIVOTS = 16, 1024
 MIN_SECTION, MAX_SECTION, MAX_SECTIONS, ANNULUS, SLICE = 4096, 65536, 65536, 512, 65536
 #: Bytes of a section, and entries of a matrix held at once.
 SECTION_BYTES, CELLS = 1 << 25, 1 << 21
-#: Bits that number the sections of a partition, and the vectors of a section.
-SECTION_BITS, ROW_BITS = 18, 28
+#: Bits for the number of a section beside its length.
+DIM_SHIFT = 32
 #: What rounding of distances may add to a bound, as a share of the squares that enter it.
 ROUNDING = 1e-6
 
@@ -28,9 +28,9 @@ SECTIONS = (
     "section long, dim int, n long, n_queries long, pivots array<int>, lows array<double>, highs array<double>, "
     "norms array<double>, sizes array<int>, ids binary, vs binary"
 )
-QUERIES = "q long, section long, dim int, query_id long, least long, v array<long>, found array<struct<vec_id:long,score:long>>"
-DEALT = "section long, slice int, q long, query_id long, least long, dim int, v array<long>"
-FOUND = "q long, query_id long, vec_id long, score long"
+QUERIES = "home long, q int, dim int, query_id long, least long, v array<long>, found array<struct<vec_id:long,score:long>>"
+DEALT = "section long, slice int, home long, q int, query_id long, least long, dim int, v array<long>"
+FOUND = "home long, q int, query_id long, vec_id long, score long"
 
 
 def squares(x: np.ndarray) -> np.ndarray:
@@ -105,50 +105,68 @@ def annuli_of(pivot: np.ndarray) -> np.ndarray:
     return np.concatenate([np.arange(s, s + n, ANNULUS) for s, n in zip(start, size)])
 
 
+def placed(index: DataFrame) -> DataFrame:
+    """Rows of the sorted index with their place among those of their length in their task."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), {}
+        for dim, *columns in batches_by_length(batches, "pivot", "dist", "vec_id", "v"):
+            n, first = len(columns[0]), before.get(dim, 0)
+            before[dim] = first + n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)),
+                    pa.array(np.full(n, dim, np.int32)), *columns,
+                ],
+                names=["part", "place", "dim", "pivot", "dist", "vec_id", "v"],
+            )
+
+    return index.mapInArrow(run, "part int, place long, " + KEYED)
+
+
 def sections(index: DataFrame, limit: int, every: int) -> DataFrame:
-    """Neighbouring vectors of the sorted index as one row, cut into annuli around pivots."""
+    """Neighbouring vectors of the sorted index as one row, cut into annuli around pivots.
+
+    All sections of a length but its last have ``limit`` vectors (fewer where these would take
+    more than ``SECTION_BYTES``), however the sorted rows lie in tasks.
+    """
+    size = F.least(F.lit(limit), F.greatest(F.lit(1), F.floor(F.lit(SECTION_BYTES // 8) / F.greatest(F.lit(1), "dim"))))
+    counts = index.groupBy("dim", "part").agg(F.count("*").alias("rows"))
+    # One row a task and length.
+    before = Window.partitionBy("dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
+        F.col("dim").alias("d"), F.col("part").alias("p"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
+    )
+    same = (F.col("dim") == F.col("d")) & (F.col("part") == F.col("p"))
+    number = F.shiftleft(F.col("dim").cast("long"), DIM_SHIFT) + F.floor((F.col("start") + F.col("place")) / size)
+    rows = index.join(starts, same).select(number.cast("long").alias("section"), "dim", "pivot", "dist", "vec_id", "v")
 
-    def packed(number, dim, pivot, dist, ids, v):
+    def run(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("pivot", "ascending"), ("dist", "ascending"), ("vec_id", "ascending")])
+        dim = table.column("dim")[0].as_py()
+        pivot, dist, ids = (table.column(c).to_numpy() for c in ("pivot", "dist", "vec_id"))
+        v = matrix(table.column("v"), dim)
         first = annuli_of(pivot)
         last = np.concatenate([first[1:], [len(pivot)]])
-        return {
-            "section": number, "dim": dim, "n": len(ids), "n_queries": int((ids % every == 0).sum()),
-            "pivots": pivot[first], "lows": dist[first], "highs": dist[last - 1],
-            "norms": np.maximum.reduceat(squares(v), first), "sizes": last - first,
+        row = {
+            "section": table.column("section")[0].as_py(), "dim": dim, "n": len(ids),
+            "n_queries": int((ids % every == 0).sum()), "pivots": pivot[first], "lows": dist[first],
+            "highs": dist[last - 1], "norms": np.maximum.reduceat(squares(v), first), "sizes": last - first,
             "ids": ids.tobytes(), "vs": v.tobytes(),
         }
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
         schema = pa.schema([
             ("section", pa.int64()), ("dim", pa.int32()), ("n", pa.int64()), ("n_queries", pa.int64()),
             ("pivots", pa.list_(pa.int32())), ("lows", pa.list_(pa.float64())), ("highs", pa.list_(pa.float64())),
             ("norms", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("vs", pa.binary()),
         ])
-        number, held, dim_held = TaskContext.get().partitionId() << SECTION_BITS, [], None
-
-        def closed(n):
-            parts = [np.concatenate(x) for x in zip(*held)]
-            row = packed(number, dim_held, *(p[:n] for p in parts))
-            held[:] = [tuple(p[n:] for p in parts)] if n < len(parts[0]) else []
-            return pa.RecordBatch.from_pylist([row], schema)
-
-        for dim, pivot, dist, ids, vs in batches_by_length(batches, "pivot", "dist", "vec_id", "v"):
-            if held and dim != dim_held:
-                yield closed(sum(len(h[0]) for h in held))
-                number += 1
-            dim_held = dim
-            size = max(1, min(limit, SECTION_BYTES // (8 * max(1, dim))))
-            held.append((pivot.to_numpy(), dist.to_numpy(), ids.to_numpy(), matrix(vs, dim)))
-            while sum(len(h[0]) for h in held) >= size:
-                yield closed(size)
-                number += 1
-        if held:
-            yield closed(sum(len(h[0]) for h in held))
-
-    return index.mapInArrow(run, SECTIONS)
+        return pa.Table.from_pylist([row], schema)
+
+    return rows.groupBy("section").applyInArrow(run, SECTIONS)
 
 
 class Best:
@@ -254,12 +272,12 @@ def at_home(index: DataFrame, pivots: dict[int, np.ndarray], every: int, k: int)
                     found = pa.StructArray.from_arrays([pa.array(c), pa.array(s)], ["vec_id", "score"])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array((row["section"] << ROW_BITS) + mine), pa.array(np.full(len(ids), row["section"])),
+                            pa.array(np.full(len(ids), row["section"])), pa.array(mine.astype(np.int32)),
                             pa.array(np.full(len(ids), dim, np.int32)), pa.array(ids),
                             pa.array(s[np.maximum(ends[1:] - 1, 0)] if len(s) else none, mask=~full), lists(v),
                             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found),
                         ],
-                        names=["q", "section", "dim", "query_id", "least", "v", "found"],
+                        names=["home", "q", "dim", "query_id", "least", "v", "found"],
                     )
 
     return index.mapInArrow(run, QUERIES)
@@ -271,7 +289,7 @@ def dealt(queries: DataFrame, summary: dict, slices: dict[int, int], pivots: dic
     def run(batches):
         import pyarrow as pa
 
-        for dim, qs, homes, ids, leasts, vs in batches_by_length(batches, "q", "section", "query_id", "least", "v"):
+        for dim, qs, homes, ids, leasts, vs in batches_by_length(batches, "q", "home", "query_id", "least", "v"):
             names, place, own, lows, highs, norms = summary[dim]
             points = pivots.get(dim, np.zeros((1, dim), np.int64))
             v, home, has = matrix(vs, dim), homes.to_numpy(), leasts.is_valid().to_numpy(zero_copy_only=False)
@@ -289,13 +307,13 @@ def dealt(queries: DataFrame, summary: dict, slices: dict[int, int], pivots: dic
                     [
                         pa.array(names[section]),
                         pa.array(np.array([slices[h] for h in home[row].tolist()], np.int32), pa.int32()),
-                        qs.take(pa.array(row)), ids.take(pa.array(row)), leasts.take(pa.array(row)),
+                        homes.take(pa.array(row)), qs.take(pa.array(row)), ids.take(pa.array(row)), leasts.take(pa.array(row)),
                         pa.array(np.full(len(row), dim, np.int32)), lists(v[row]),
                     ],
-                    names=["section", "slice", "q", "query_id", "least", "dim", "v"],
+                    names=["section", "slice", "home", "q", "query_id", "least", "dim", "v"],
                 )
 
-    return queries.select("q", "section", "dim", "query_id", "least", "v").mapInArrow(run, DEALT)
+    return queries.select("home", "q", "dim", "query_id", "least", "v").mapInArrow(run, DEALT)
 
 
 def visited(sections_: DataFrame, dealt_: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
@@ -304,18 +322,18 @@ def visited(sections_: DataFrame, dealt_: DataFrame, pivots: dict[int, np.ndarra
     def run(left, right):
         import pyarrow as pa
 
-        out = [np.zeros(0, np.int64)] * 4
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int32), *[np.zeros(0, np.int64)] * 3]
         if left.num_rows and right.num_rows:
             row = left.slice(0, 1).to_pylist()[0]
             here, dim = Section(row), row["dim"]
             least = right.column("least").combine_chunks()
-            ids, q = right.column("query_id").to_numpy(), right.column("q").to_numpy()
+            ids, q, home = (right.column(c).to_numpy() for c in ("query_id", "q", "home"))
             of, c, s = here.search(
                 ids, matrix(right.column("v"), dim), least.fill_null(0).to_numpy(),
                 least.is_valid().to_numpy(zero_copy_only=False), pivots.get(dim, np.zeros((1, dim), np.int64)), k,
             )
-            out = [q[of], ids[of], c, s]
-        return pa.table(dict(zip(("q", "query_id", "vec_id", "score"), out)))
+            out = [home[of], q[of], ids[of], c, s]
+        return pa.table(dict(zip(("home", "q", "query_id", "vec_id", "score"), out)))
 
     pairs = staged(dealt_.select("section", "slice").distinct(), "visits")
     left = sections_.join(pairs, "section").groupBy("section", "slice")
@@ -386,12 +404,14 @@ def top_products(df: DataFrame, vector: str = "embedding", vec_id: str = "vec_id
     limit = max(MIN_SECTION, min(MAX_SECTION, n // 64), math.ceil(n / MAX_SECTIONS))
     order = ["dim", "pivot", "dist", "vec_id"]
     index = staged(keyed(table, pivots), "pivot-keys").repartitionByRange(max(1, math.ceil(n / limit)), *order)
-    index = staged(sections(index.sortWithinPartitions(*order), limit, every), "sections")
+    index = staged(placed(index.sortWithinPartitions(*order)), "sorted-keys")
+    index = staged(sections(index, limit, every), "sections")
     summary, slices = overview(index)
     queries = staged(at_home(index, pivots, every, k), "queries")
     away = visited(index, dealt(queries, summary, slices, pivots), pivots, k)
-    home = queries.select("q", "query_id", F.explode("found").alias("f")).select("q", "query_id", "f.vec_id", "f.score")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    home = queries.select("home", "q", "query_id", F.explode("found").alias("f"))
+    home = home.select("home", "q", "query_id", "f.vec_id", "f.score")
+    order = Window.partitionBy("home", "q").orderBy(F.desc("score"), "vec_id")
     return (
         home.union(away)
         .withColumn("rank", F.row_number().over(order))
