@@ -347,7 +347,7 @@ def joined(open_: DataFrame) -> DataFrame:
 
 
 def hashed(rows: DataFrame, audits: DataFrame) -> DataFrame:
-    """``(conv, sha)`` of conversations of several segments, their turns streamed in order.
+    """``(conv, sha)`` of the repaired ``rows`` of conversations of several segments, streamed in order.
 
     A digest is sequential, so one task reads such a conversation, one batch at a time.
     """
@@ -357,10 +357,7 @@ def hashed(rows: DataFrame, audits: DataFrame) -> DataFrame:
         "conv", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"),
         F.col("audit").alias("text"), F.lit(0).alias("chunk"), F.lit(1).cast("long").alias("copies"),
     )
-    wanted = audits.select(F.col("conv").alias("c"))
-    mine = rows.join(wanted, F.col("conv").eqNullSafe(F.col("c")), "left_semi").select(
-        "conv", F.lit(1).alias("kind"), "turn", "role", "text", "chunk", "copies"
-    )
+    mine = rows.select("conv", F.lit(1).alias("kind"), "turn", "role", "text", "chunk", "copies")
 
     def run(batches):
         import pyarrow as pa
@@ -405,7 +402,10 @@ def repairs(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
     """
     spark = df.sparkSession
     ship(spark)
-    rows = ordered(damaged(df, conv_id, turn, role, text), segment)
+    given = df.select(
+        F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
+    )
+    rows = ordered(damaged(given), segment)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(tasks, "conv", "turn", "role", F.substring("text", 1, PREFIX), "chunk")
     found = staged(segments(dealt.sortWithinPartitions("conv", "turn", "role", "text", "chunk"), segment), "segments")
@@ -417,7 +417,9 @@ def repairs(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
     gaps = F.least(F.coalesce(wide, F.lit(0)), F.lit((1 << 63) - 1)).cast("long").alias("gaps")
     of_one = found.where("not open").drop("open").union(open_.where("n_segments = 1").drop("open", "n_segments"))
     chained = staged(joined(open_.where("n_segments > 1").drop("n_segments")), "chained")
-    digests = hashed(rows, chained).toDF("c", "sha")
+    # Few rows are read again: those of conversations that lie across tasks or segments.
+    again = given.join(chained.select(F.col("conv").alias("c")), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    digests = hashed(ordered(damaged(again), segment), chained).toDF("c", "sha")
     of_many = chained.join(digests, F.col("conv").eqNullSafe(F.col("c")))
     out = of_one.select("conv", gaps, *names[2:]).union(of_many.select(*names))
     return out.withColumnRenamed("conv", "conv_id").withColumnRenamed("sha", "repaired_sha256")
