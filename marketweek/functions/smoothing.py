@@ -79,6 +79,25 @@ def smooth(y, n, params, period, multiplicative, horizon=0):
     return sse, ahead
 
 
+def search(y, n, period, multiplicative, grid, refinements):
+    """Weights ``[s, 3]`` of the least squared error, by grid and refinement, and that error."""
+    rows = np.arange(len(n))
+    tried = np.repeat(grid[None], len(n), 0)
+    best, least = tried[:, 0], np.full(len(n), np.inf)
+    offsets = np.array(list(product((-1, 0, 1), repeat=3)))
+    reach = np.array(REACH)
+    for depth in range(refinements + 1):
+        sse, _ = smooth(y, n, tried, period, multiplicative)
+        sse = np.where(np.isfinite(sse), sse, np.inf)
+        pick = sse.argmin(1)
+        better = sse[rows, pick] < least
+        best = np.where(better[:, None], tried[rows, pick], best)
+        least = np.minimum(least, sse[rows, pick])
+        tried = np.clip(best[:, None] + offsets * reach / 2**depth, 0.0, 1.0)
+        tried[:, :, 0] = np.clip(tried[:, :, 0], 1e-4, 0.9999)
+    return best, least
+
+
 def best_forecasts(block, period, horizon, multiplicative, grid, refinements):
     """Forecasts of the parameters with the least squared error; NULL where none is finite."""
     order = np.argsort([-len(v) for v in block], kind="stable")
@@ -86,21 +105,8 @@ def best_forecasts(block, period, horizon, multiplicative, grid, refinements):
     y = np.zeros((len(n), n[0]))
     for row, i in enumerate(order):
         y[row, : n[row]] = block[i]
-    rows = np.arange(len(n))
     with np.errstate(all="ignore"):
-        tried = np.repeat(grid[None], len(n), 0)
-        best, least = tried[:, 0], np.full(len(n), np.inf)
-        offsets = np.array(list(product((-1, 0, 1), repeat=3)))
-        reach = np.array(REACH)
-        for depth in range(refinements + 1):
-            sse, _ = smooth(y, n, tried, period, multiplicative)
-            sse = np.where(np.isfinite(sse), sse, np.inf)
-            pick = sse.argmin(1)
-            better = sse[rows, pick] < least
-            best = np.where(better[:, None], tried[rows, pick], best)
-            least = np.minimum(least, sse[rows, pick])
-            tried = np.clip(best[:, None] + offsets * reach / 2**depth, 0.0, 1.0)
-            tried[:, :, 0] = np.clip(tried[:, :, 0], 1e-4, 0.9999)
+        best, least = search(y, n, period, multiplicative, grid, refinements)
         _, ahead = smooth(y, n, best[:, None], period, multiplicative, horizon)
     out = [None] * len(block)
     for row, i in enumerate(order):

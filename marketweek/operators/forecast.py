@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketweek.functions.estimation import estimated
 from marketweek.functions.metrics import window_metrics
 from marketweek.functions.scalar import all_finite, array_mean, clip_low
 from marketweek.functions.smoothing import holt_winters
@@ -60,12 +61,17 @@ def with_model_columns(
         # Few rows, much arithmetic per row: give every task its share.
         rows = spread(rows, "item", "fold")
         two_seasons = n >= 2 * params.period
-        rows = rows.withColumns(
-            {
-                "_hw": holt_winters(F.when(two_seasons, y), h, params.period),
-                "_start": F.when(~two_seasons, holt_start(y)),
-            }
-        ).withColumn("_fit", F.when(~two_seasons, holt(y, F.col("_start"))))
+        if params.smoothing == "estimated":
+            rows = rows.withColumn("_hw", estimated(y, h, params.period))
+        elif params.smoothing == "grid":
+            rows = rows.withColumns(
+                {
+                    "_hw": holt_winters(F.when(two_seasons, y), h, params.period),
+                    "_start": F.when(~two_seasons, holt_start(y)),
+                }
+            ).withColumn("_fit", F.when(~two_seasons, holt(y, F.col("_start"))))
+        else:
+            raise ValueError(f"unknown smoothing: {params.smoothing}")
     shared = {
         "_pairs": week_pairs(F.col("weeks"), y),
         "_naive": seasonal_naive(y, h, params.period),
@@ -75,6 +81,8 @@ def with_model_columns(
     fallback = F.when(n >= params.period, F.col("_naive")).otherwise(F.col("_rolled"))
 
     def smoothed(name: str) -> Column:
+        if params.smoothing == "estimated":
+            return F.coalesce(F.col(f"_hw.{name}.ahead"), fallback)
         trend_only = F.when(n < 2 * params.period, line_ahead(F.col("_fit"), h))
         return F.coalesce(trend_only, F.col(f"_hw.{name}"), fallback)
 

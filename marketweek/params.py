@@ -22,7 +22,11 @@ SUPPLY_WEEKS = 4
 
 @dataclass(frozen=True)
 class ForecastParams:
-    """Backtest and forecast settings shared by the per-item models."""
+    """Backtest and forecast settings shared by the per-item models.
+
+    ``smoothing`` is ``estimated`` (weights and start states by least squares) or ``grid``
+    (weights from a refined grid, start states by rule), which SQL can repeat.
+    """
 
     horizon: int = HORIZON
     period: int = PERIOD
@@ -30,6 +34,7 @@ class ForecastParams:
     folds: int = BACKTEST_FOLDS
     window: int = ROLLMEAN_WINDOW
     clip_min: float = CLIP_MIN
+    smoothing: str = "estimated"
 
 
 @dataclass(frozen=True)

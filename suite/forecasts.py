@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketweek.functions.estimation import estimated
 from marketweek.functions.smoothing import holt_winters
 from marketweek.operators import evaluation, forecast, profile
 from marketweek.operators.baselines import (
@@ -33,7 +34,9 @@ from suite import smoothing_sql, sql
 from suite.adapters import item_groups, panel, r4, rounded, stored_weekly
 from suite.registry import query
 
-P = ForecastParams()
+#: The grid search is what the comparison SQL can repeat; the library estimates by default.
+P = ForecastParams(smoothing="grid")
+ESTIMATED = ForecastParams()
 VALIDATION = ("2000-01-01", "2000-12-31")
 THRESHOLD = 0.01
 """Prices of the test tables differ little between items; the rule's default of 0.15 would
@@ -178,6 +181,51 @@ def hw_mul_grid(spark, sf):
     return _seasonal(spark, sf, "hw_mul")
 
 
+def _estimated_sql() -> str:
+    """Per series and form the error of the grid search, which an estimate may not exceed."""
+    parts = [
+        f"""SELECT item, '{form}' AS form, CAST(train_n AS INTEGER) AS n, {sql.r4('sqrt(sse / train_n)', 'grid_rmse')},
+        true AS not_worse, true AS in_bounds FROM {name}_best{smoothing_sql.REFINEMENTS}"""
+        for form, name in (("hw_add", "hwadd"), ("hw_mul", "hwmul"))
+    ]
+    return f"""WITH RECURSIVE {sql.SERIES},
+    train AS (SELECT item, 0 AS fold, n AS train_n, rn, target FROM ser),
+    {smoothing_sql.searched(False, 'hwadd')}, {smoothing_sql.searched(True, 'hwmul')}
+    {' UNION ALL '.join(parts)}"""
+
+
+@query(_estimated_sql())
+def hw_estimated(spark, sf):
+    """Seasonal fits with estimated start states beside the grid's error on the same series."""
+    rows = spread(series(panel(spark, sf)).where(F.col("n") >= 2 * P.period), "item")
+    rows = rows.withColumn("fit", estimated(F.col("y"), P.horizon, P.period))
+    positive = F.forall("y", lambda v: v > 0)
+    forms = F.array(
+        F.struct(F.lit("hw_add").alias("form"), F.col("fit.hw_add").alias("f")),
+        F.when(positive, F.struct(F.lit("hw_mul").alias("form"), F.col("fit.hw_mul").alias("f"))),
+    )
+    found = rows.select("item", "n", F.inline_outer(F.array_compact(forms)))
+    return found.select(
+        "item", "form", "n", r4(F.sqrt(F.col("f.grid_sse") / F.col("n"))).alias("grid_rmse"),
+        (F.col("f.sse") <= F.col("f.grid_sse")).alias("not_worse"),
+        (F.col("f.alpha").between(1e-4, 0.9999) & F.col("f.beta").between(0, 1) & F.col("f.share").between(0, 1)).alias("in_bounds"),
+    )
+
+
+@query(f"""WITH {sql.FOLDS}, models AS (SELECT unnest(['SeasonalNaive', 'WeekMean', 'RollMean(8w)', 'HW-Add', 'HW-Mul']) AS model)
+  SELECT item, CAST(max(n) AS BIGINT) AS ranks, 1 AS best, true AS finite FROM (
+    SELECT item, (SELECT count(*) FROM models) AS n FROM horizon WHERE fold = 0) GROUP BY 1""")
+def leaderboard_estimated(spark, sf):
+    """The board with estimated smoothing, as facts that hold whatever the fits: five ranked
+    models an item, the best one's error the least, all errors finite."""
+    board = forecast.scoreboard(forecast.model_rows(panel(spark, sf), ESTIMATED))
+    return board.groupBy("item").agg(
+        F.count("*").alias("ranks"),
+        F.min_by("rank", F.struct(F.coalesce("smape", F.lit(1e9)), F.coalesce("mae", F.lit(1e9)), "model")).alias("best"),
+        F.min(~F.isnan("smape") & (F.abs("smape") < float("inf"))).alias("finite"),
+    )
+
+
 @query(f"""WITH {_ALL_SCORES} SELECT item, fold, CAST(train_n AS INTEGER) AS fold_end_idx, model,
   {', '.join(sql.r4(m) for m in METRICS)} FROM fold_scores""")
 def fold_metrics(spark, sf):
