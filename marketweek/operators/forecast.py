@@ -46,9 +46,12 @@ def with_model_columns(
     fold_rows: DataFrame,
     params: ForecastParams = ForecastParams(),
     models: tuple[str, ...] = ALL_MODELS,
+    spread_rows: bool = True,
 ) -> DataFrame:
     """Replace the training arrays by one forecast array per model, named after it.
 
+    ``spread_rows=False`` leaves the rows where they are, for callers that spread the items.
+
     Seasonal smoothing needs two seasons; shorter histories use the trend-only form, and a
     failed fit falls back to the last season, or to the rolling mean below one season.
     Intermediate results that several models use are columns of their own, so that they are
@@ -59,7 +62,7 @@ def with_model_columns(
     rows = fold_rows
     if seasonal:
         # Few rows, much arithmetic per row: give every task its share.
-        rows = spread(rows, "item", "fold")
+        rows = spread(rows, "item", "fold") if spread_rows else rows
         two_seasons = n >= 2 * params.period
         if params.smoothing == "estimated":
             rows = rows.withColumn("_hw", estimated(y, h, params.period))
@@ -162,6 +165,53 @@ def scoreboard(rows: DataFrame) -> DataFrame:
     )
 
 
+def item_board(
+    panel: DataFrame,
+    params: ForecastParams = ForecastParams(),
+    models: tuple[str, ...] = ALL_MODELS,
+) -> DataFrame:
+    """The :func:`scoreboard` of a panel, its histories shuffled once.
+
+    Items are spread before their series are built; folds and forecasts are made where the
+    series are. Forecasts and actual values of an item's folds, a few numbers each, then meet in
+    one array; scores and ranks are expressions on it, so nothing is unpivoted, grouped by
+    model or windowed.
+    """
+    rows = with_model_columns(folds(series(spread(panel, "item")), params), params, models, spread_rows=False)
+    names = [c for c in rows.columns if c not in FOLD_KEYS]
+    entry = F.struct((-F.col("fold")).alias("k"), "target_weeks", "actual", *[F.col(f"`{m}`").alias(f"m{i}") for i, m in enumerate(names)])
+    # Oldest fold first; fold 0, the future, comes last.
+    items = rows.groupBy("item").agg(F.array_sort(F.collect_list(entry)).alias("_f"))
+    past, live = F.filter("_f", lambda r: r["k"] < 0), F.filter("_f", lambda r: r["k"] == 0)
+    items = items.withColumns({"_past": past, "_live": live})
+
+    def scored(i: int) -> Column:
+        return F.transform(
+            "_past", lambda r: F.struct(*[c.alias(m) for m, c in window_metrics(r["actual"], r[f"m{i}"]).items()])
+        )
+
+    items = items.withColumns({f"_s{i}": scored(i) for i in range(len(names))})
+    items = items.withColumns(
+        {f"_v{i}_{m}": array_mean(F.col(f"_s{i}.{m}")) for i in range(len(names)) for m in METRICS}
+    )
+
+    def ranked(i: int, name: str) -> Column:
+        value = {m: F.col(f"_v{i}_{m}") for m in METRICS}
+        return F.struct(
+            value["smape"].isNull().alias("_a"), value["smape"].alias("_b"), value["mae"].isNull().alias("_c"),
+            value["mae"].alias("_d"), F.lit(name).alias("model"), *[value[m].alias(m) for m in METRICS],
+            F.get("_live", F.lit(0))[f"m{i}"].alias("yhat"),
+        )
+
+    order = F.array_sort(F.array(*[ranked(i, name) for i, name in enumerate(names)]))
+    return items.select(
+        "item", F.size("_past").cast("long").alias("n_folds"), F.get("_live", F.lit(0))["target_weeks"].alias("target_weeks"),
+        F.posexplode_outer(order).alias("_p", "_m"),
+    ).select(
+        "item", "_m.model", *[f"_m.{m}" for m in METRICS], "n_folds", (F.col("_p") + 1).alias("rank"), "target_weeks", "_m.yhat",
+    )
+
+
 def leaderboard(board: DataFrame) -> DataFrame:
     """Ranked models per item, long form."""
     return board.select("item", "rank", "model", *METRICS, "n_folds")
@@ -268,5 +318,5 @@ def forecast_all(
 ) -> DataFrame:
     """Next weeks of every item: backtested selection, or the rule-based choice."""
     if auto_selection:
-        return forecast_selected(scoreboard(model_rows(panel, params, models)), params)
+        return forecast_selected(item_board(panel, params, models), params)
     return forecast_priority(model_rows(panel, params, models), params)

@@ -218,7 +218,7 @@ def hw_estimated(spark, sf):
 def leaderboard_estimated(spark, sf):
     """The board with estimated smoothing, as facts that hold whatever the fits: five ranked
     models an item, the best one's error the least, all errors finite."""
-    board = forecast.scoreboard(forecast.model_rows(panel(spark, sf), ESTIMATED))
+    board = forecast.item_board(panel(spark, sf), ESTIMATED)
     return board.groupBy("item").agg(
         F.count("*").alias("ranks"),
         F.min_by("rank", F.struct(F.coalesce("smape", F.lit(1e9)), F.coalesce("mae", F.lit(1e9)), "model")).alias("best"),
@@ -235,7 +235,7 @@ def fold_metrics(spark, sf):
 @query(f"""WITH {_ALL_SCORES} SELECT item, CAST(rank AS INTEGER) AS rank, model,
   {', '.join(sql.r4(m) for m in METRICS)}, n_folds FROM board""")
 def leaderboard(spark, sf):
-    board = forecast.scoreboard(five_models(spark, sf))
+    board = forecast.item_board(panel(spark, sf), P)
     return rounded(forecast.leaderboard(board), *METRICS)
 
 
@@ -249,7 +249,7 @@ def _wide_sql() -> str:
 
 @query(_wide_sql())
 def leaderboard_wide(spark, sf):
-    wide = forecast.leaderboard_wide(forecast.scoreboard(five_models(spark, sf)))
+    wide = forecast.leaderboard_wide(forecast.item_board(panel(spark, sf), P))
     return rounded(wide, *[f"rank{r}_{m}" for r in (1, 2, 3) for m in METRICS])
 
 
@@ -257,7 +257,7 @@ def leaderboard_wide(spark, sf):
   {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM every p JOIN board b
   ON b.item = p.item AND b.model = p.model AND b.rank = 1 WHERE p.fold = 0""")
 def forecast_selected(spark, sf):
-    board = forecast.scoreboard(five_models(spark, sf))
+    board = forecast.item_board(panel(spark, sf), P)
     return rounded(forecast.forecast_selected(board, P), "y_hat")
 
 
@@ -265,7 +265,7 @@ def forecast_selected(spark, sf):
   {sql.r4('greatest(p.yhat, 0)', 'y_hat')} FROM every p JOIN board b
   ON b.item = p.item AND b.model = p.model AND b.rank = 1 WHERE p.fold = 0 ORDER BY 1, 2 LIMIT 20""")
 def forecast_preview(spark, sf):
-    board = forecast.scoreboard(five_models(spark, sf))
+    board = forecast.item_board(panel(spark, sf), P)
     first = profile.preview(forecast.forecast_selected(board, P), ["item", "forecast_week_start"])
     return rounded(first, "y_hat")
 
@@ -339,7 +339,7 @@ def hw_forecast(spark, sf):
 
 @query(_wide_sql())
 def leaderboard_all_models(spark, sf):
-    wide = forecast.leaderboard_wide(forecast.scoreboard(forecast.model_rows(panel(spark, sf), P)))
+    wide = forecast.leaderboard_wide(forecast.item_board(panel(spark, sf), P))
     return rounded(wide, *[f"rank{r}_{m}" for r in (1, 2, 3) for m in METRICS])
 
 

@@ -168,3 +168,24 @@ def test_item_without_a_choice_keeps_the_seasonal_naive(spark):
     choice = spark.createDataFrame([("a", "WeekMean")], "item string, model string")
     got = {r.item: r.y_hat for r in fc.forecast_by_name(board_of(spark, rows), choice, P).collect()}
     assert got == {"a": 8.0, "b": 7.0}
+
+
+def test_item_board_equals_scoreboard(spark):
+    rng = np.random.default_rng(11)
+    df = panel(spark, {f"n{n}": [None if v < 1.2 and n == 80 else v for v in rng.uniform(1, 5, n)] for n in (56, 63, 80, 120)} | {"same": [2.0] * 90})
+    params = ForecastParams(smoothing="grid")
+    wide = fc.item_board(df, params)
+    long = fc.scoreboard(fc.model_rows(df, params))
+    assert wide.columns == long.columns
+    key = lambda r: (r.item, r.rank)
+    for a, b_ in zip(sorted(wide.collect(), key=key), sorted(long.collect(), key=key), strict=True):
+        assert a == b_
+    assert fc.item_board(df.limit(0), params).count() == 0
+
+
+def test_item_board_ships_histories_once(spark):
+    """One exchange of the panel by item, and one of the scored folds (a Python step hides the first)."""
+    df = panel(spark, {"a": [float(k) for k in range(1, 121)]})
+    plan = fc.leaderboard_wide(fc.item_board(df, ForecastParams(smoothing="grid")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(item") == plan.count("Exchange ") == 2
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Window" not in plan and "Expand" not in plan
