@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketweek.functions.scalar import require_rows
 from marketweek.operators import evaluation, gbm
 from marketweek.operators.baselines import calendar_naive
 from marketweek.operators.features import weekly_features
@@ -17,7 +18,7 @@ from marketweek.operators.forecast import (
     model_rows,
     scoreboard,
 )
-from marketweek.operators.substitutes import grouped_state, item_state, substitutes
+from marketweek.operators.substitutes import grouped_state, item_state, rule_params, substitutes
 from marketweek.operators.weekly import (
     apply_aliases,
     join_weather,
@@ -27,10 +28,21 @@ from marketweek.operators.weekly import (
 )
 from marketweek.params import FeatureParams, ForecastParams, GbmParams, SubstituteParams
 from marketweek.session import materialise
-from marketweek.sources.readers import read_stage
+from marketweek.sources.readers import read_rules, read_stage, read_transactions, read_weather
 from marketweek.sources.sinks import save_model, write_report, write_stage
 
 
+@dataclass(frozen=True)
+class Sources:
+    """Where a run reads from: transaction sources, daily weather, and the three rule tables."""
+
+    transactions: tuple[str, ...]
+    rule_params: str
+    aliases: str
+    groups: str
+    weather: str | None = None
+
+
 @dataclass(frozen=True)
 class Reports:
     """Which result files a run writes."""
@@ -117,3 +129,30 @@ def train_and_recommend(
     suggestions = materialise(substitutes(state, rules))
     write_report(suggestions.orderBy("item", "rank"), f"{out}/suggestions")
     return suggestions
+
+
+def run_from_files(
+    spark: SparkSession,
+    sources: Sources,
+    out: str,
+    train_until: str,
+    validate: tuple[str, str],
+    params: ForecastParams = ForecastParams(),
+    model_params: GbmParams = GbmParams(),
+    reports: Reports = Reports(),
+) -> DataFrame:
+    """The whole batch: source files to forecasts, model and suggestions under ``out``.
+
+    Aliases apply to the weekly table, groups and rule parameters to the suggestions. No
+    transaction at all is an error, before anything is trained. With a weather file, the
+    variables named in ``model_params.extra_features`` enter the model.
+    """
+    rules, aliases, groups = read_rules(spark, sources.rule_params, sources.aliases, sources.groups)
+    raw = require_rows(read_transactions(spark, sources.transactions), "the transactions")
+    weekly = build_weekly(raw, f"{out}/weekly", aliases)
+    weather = read_weather(spark, sources.weather) if sources.weather else None
+    features = build_features(weekly, f"{out}/features", weather)
+    forecast_items(spark, weekly, out, params, reports)
+    return train_and_recommend(
+        features, weekly, groups, out, train_until, validate, model_params, rule_params(rules)
+    )

@@ -434,12 +434,13 @@ def best_worst(spark, sf):
     return rounded(evaluation.best_and_worst(materialise(metrics)), "wape")
 
 
-def recommendation_inputs(spark, sf) -> DataFrame:
+def recommendation_inputs(spark, sf, groups: DataFrame | None = None) -> DataFrame:
     """Reference-week state with the rolling mean as next week's price."""
     table = stored_weekly(spark, sf)
     rows = forecast.model_rows(target_panel(table), P, (forecast.ROLL_MEAN,)).where("fold = 0")
     predictions = rows.select("item", F.col("yhat")[0].alias("pred_price"))
-    return materialise(grouped_state(item_state(table), predictions, item_groups(spark, sf)))
+    groups = item_groups(spark, sf) if groups is None else groups
+    return materialise(grouped_state(item_state(table), predictions, groups))
 
 
 RULES = SubstituteParams(price_discount_threshold=THRESHOLD)

@@ -14,6 +14,57 @@ SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
+def test_batch_from_files(spark, tmp_path):
+    """Mixed source files, weather and rule files to suggestions."""
+    rng = np.random.default_rng(5)
+    utf8, older, weather = ["거래일자,품목명,반입량,금액"], ["amount,품목,수량,date"], ["조회일자,tmax"]
+    for i in range(150):
+        day = MONDAY + timedelta(days=7 * i)
+        weather.append(f"{day:%Y%m%d},{10 + i % 9}")
+        for k in range(5):
+            qty = int(rng.integers(2, 9))
+            amount = round(qty * (10 + 6 * k) * (1 + 0.1 * np.sin(i / 8)), 2)
+            name = "Onion" if k == 0 and i % 2 else f"양파{k}"
+            if i % 3:
+                utf8.append(f"{day:%Y-%m-%d},{name},{qty},{amount}")
+            else:
+                older.append(f"{amount},{name},{qty},{day:%Y%m%d}")
+    for name, lines, encoding in (("a", utf8, "utf-8-sig"), ("b", older, "cp949"), ("w", weather, "utf-8")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1.csv").write_bytes(("\n".join(lines) + "\n").encode(encoding))
+    rules = {
+        "params": '{"price_discount_threshold": 0.2, "top_k": 2}',
+        "aliases": '{"alias": "Onion", "canonical": "양파0"}',
+        "groups": "\n".join(f'{{"grp": "g", "item": "양파{k}"}}' for k in range(5)),
+    }
+    for name, text in rules.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    sources = batch.Sources(
+        (str(tmp_path / "a"), str(tmp_path / "b")), *(str(tmp_path / f"{n}.json") for n in rules), str(tmp_path / "w")
+    )
+    out = tmp_path / "out"
+    found = batch.run_from_files(
+        spark, sources, str(out), "2020-03-31", ("2020-04-01", "2020-11-30"),
+        model_params=GbmParams(rounds=2, min_child_samples=5, extra_features=("tmax",)),
+    )
+    weekly = spark.read.parquet(str(out / "weekly"))
+    assert {r.item for r in weekly.select("item").distinct().collect()} == {f"양파{k}" for k in range(5)}
+    assert weekly.count() == 5 * 150
+    rows = found.collect()
+    assert rows and max(r["rank"] for r in rows) <= 2 and min(r.saving_rate for r in rows) >= 0.2
+    assert {"forecasts", "leaderboard", "val_metrics", "suggestions", "model"} <= {p.name for p in out.iterdir()}
+
+
+def test_batch_without_transactions_fails_early(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text("date,item,qty_in,amount\n")
+    for name, text in (("p", "{}"), ("l", '{"alias": "x", "canonical": "y"}'), ("g", '{"grp": "g", "item": "x"}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    sources = batch.Sources((str(tmp_path / "a"),), *(str(tmp_path / f"{n}.json") for n in "plg"))
+    with pytest.raises(ValueError, match="the transactions"):
+        batch.run_from_files(spark, sources, str(tmp_path / "out"), "2020-01-01", ("2020-01-02", "2020-02-01"))
+
+
 def test_whole_batch(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
