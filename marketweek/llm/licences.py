@@ -142,13 +142,18 @@ class LicenceModel:
 def train(docs: DataFrame, text: str = "text") -> LicenceModel:
     """Fit on the template variants and a bounded sample of paragraphs without licence.
 
-    The sample holds the ``NEGATIVES`` paragraphs with the smallest hashes among those that no
-    template resembles. A fifth of all rows is held out: the temperature minimises their log
+    The sample holds the ``NEGATIVES`` different paragraphs with the smallest hashes among those
+    that no template resembles. A fifth of all rows is held out: the temperature minimises their log
     loss, the threshold keeps their precision at ``LEAST_PRECISION``.
     """
     spark = docs.sparkSession
-    some = paragraphs(docs, text).select("body").where("not lower(body) rlike 'licen[sc]e|copyright|redistribut'")
-    sample = some.orderBy(F.xxhash64("body"), "body").limit(NEGATIVES)
+    plain = paragraphs(docs, text).select("body").where("not lower(body) rlike 'licen[sc]e|copyright|redistribut'")
+    some = plain.select("body", F.xxhash64("body").alias("h"))
+    # Hashes below a bound that about twice as many paragraphs meet, so that only few bodies move;
+    # the sketch is a few kilobytes a task. Equal paragraphs count once.
+    n = max(1, some.agg(F.approx_count_distinct("h")).first()[0])
+    bound = min(2**63 - 1, -(2**63) + 2**64 * 2 * NEGATIVES // n)
+    sample = some.where(F.col("h") <= bound).distinct().orderBy("h", "body").limit(NEGATIVES)
     negative = sample.select(F.lit(float(len(FAMILIES))).alias("label"), F.pmod(F.xxhash64("body"), F.lit(VARIANTS)).cast("int").alias("variant"),
                              words_of(F.col("body")).alias("words"))
     rows = staged(variants(spark).unionByName(negative).withColumn("grams", grams(F.col("words"))), "licence-rows")
