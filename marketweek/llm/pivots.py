@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -218,20 +219,21 @@ def near_vectors(df: DataFrame, vector: str = "embedding", vec_id: str = "vec_id
     with a cosine of ``cosine`` or more in double precision is found, at any size and however
     crowded a place is. Where no bound separates the vectors all pairs are compared.
 
-    Null, zero and non-finite vectors, vectors of another length than most, and rows without
-    id link with nothing: no links, a component of their own, kept (rows without id have none
-    and aren't kept). Repeated rows link with each other; an empty table gives no rows; other
+    Vectors link only with those of their own length; each length is an index of its own. Null,
+    zero and non-finite vectors, and rows without id link with nothing: no links, a component
+    of their own, kept (rows without id have none and aren't kept). Repeated rows link with each other; an empty table gives no rows; other
     columns are ignored.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     good = rows.where(F.col("vec_id").isNotNull() & valid("v"))
-    length = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    usual = F.size("v") == F.lit(length[0] if length else 0)
     # Minus zero equals zero but would group apart.
-    good = good.where(usual).withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast("float")))
+    good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast("float")))
     table = staged(classes(good), "vectors")
-    found = staged(linked(table, cosine), "links")
+    lengths = table.groupBy(F.size("v").alias("n")).count().where("count > 1").select("n")
+    parts = [linked(table.where(F.size("v") == r.n), cosine) for r in lengths.toLocalIterator()]
+    none = df.sparkSession.createDataFrame([], "rep long, links long, other long")
+    found = staged(reduce(DataFrame.union, parts, none), "links")
     counts = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("links = 0").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     named = (
@@ -243,7 +245,7 @@ def near_vectors(df: DataFrame, vector: str = "embedding", vec_id: str = "vec_id
         )
     )
     one = rows.withColumn(
-        "v", F.when(F.col("vec_id").isNotNull() & valid("v") & usual, F.transform("v", lambda x: x + F.lit(0).cast("float")))
+        "v", F.when(F.col("vec_id").isNotNull() & valid("v"), F.transform("v", lambda x: x + F.lit(0).cast("float")))
     )
     return one.join(named, "v", "left").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
