@@ -45,21 +45,27 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
+def body_of(text: str):
+    """What tells the texts of rows that repeat a doc_id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, print)``; ``print`` holds the 64 bits as a signed long."""
+    """``(doc_id, body, print)``: ``print`` holds the 64 bits as a signed long, ``body`` a hash
+    of the text."""
 
     ship(docs.sparkSession)
 
     def run(frames):
         for frame in frames:
             prints = np.fromiter(map(fingerprint, frame["text"]), np.uint64, len(frame))
-            yield frame[["doc_id"]].assign(print=prints.view(np.int64))
+            yield frame[["doc_id", "body"]].assign(print=prints.view(np.int64))
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), body_of(text).alias("body"),
     )
-    return rows.mapInPandas(run, "doc_id long, print long")
+    return rows.mapInPandas(run, "doc_id long, body long, print long")
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -247,6 +253,18 @@ def close_edges(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return edges.union(second.select("a", "b"))
 
 
+def grouped(docs: DataFrame, text: str, bucket: int) -> DataFrame:
+    """``(doc_id, body, print, component, component_id)`` for every row of ``docs``."""
+    found = staged(fingerprints(docs, text), "prints")
+    distinct = found.groupBy("print").agg(F.min("doc_id").alias("least"))
+    components = connected_components(close_edges(distinct.select("print"), bucket))
+    roots = distinct.join(
+        components.select(F.col("node").alias("print"), "component"), "print", "left"
+    ).select("print", "least", F.coalesce("component", "print").alias("component"))
+    least = roots.groupBy("component").agg(F.min("least").alias("component_id"))
+    return found.join(roots.join(least, "component").select("print", "component", "component_id"), "print")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -256,15 +274,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -
     repeated rows stay; rows without doc_id keep their component; an empty table gives no
     rows; other columns are ignored.
     """
-    found = staged(fingerprints(docs, text), "prints")
-    distinct = found.groupBy("print").agg(F.min("doc_id").alias("least"))
-    components = connected_components(close_edges(distinct.select("print"), bucket))
-    roots = distinct.join(
-        components.select(F.col("node").alias("print"), "component"), "print", "left"
-    ).select("print", "least", F.coalesce("component", "print").alias("component"))
-    least = roots.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = roots.join(least, "component").select("print", "component_id")
-    return found.join(named, "print").select(
+    return grouped(docs, text, bucket).select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -272,14 +282,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -
 def keep_one(docs: DataFrame, text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    All columns stay as they were. Of rows repeating that doc_id one stays. Documents without
-    doc_id form no groups and all stay.
+    All columns stay as they were, whatever their names. Of rows repeating that doc_id in one
+    group one stays; rows with one doc_id whose texts lie in different groups are different
+    documents. Documents without doc_id form no groups and all stay; an empty table stays
+    empty.
     """
-    named = near_duplicates(docs.where("doc_id is not null"), text, bucket)
-    lost = named.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    key = F.col("doc_id").cast("long")
+    named = docs.where("doc_id is not null")
+    # One row a group; the hash of its text tells it from other texts under the same doc_id.
+    chosen = (
+        grouped(named, text, bucket).groupBy("component").agg(F.min(F.struct("doc_id", "body")).alias("one"))
+        .select("one.*").distinct()
+    )
+    # The row travels as one value, so that its columns can't clash with any of ours.
+    rows = named.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body_of(text).alias("body"))
+    kept = rows.join(chosen.hint("merge"), ["doc_id", "body"], "left_semi")
     # Sorted by the join already, repeated rows follow each other: numbering them moves nothing.
-    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    kept = docs.where("doc_id is not null").join(lost.hint("merge"), key == F.col("_lost"), "left_anti")
-    kept = kept.withColumn("_place", place).where("_place = 1").drop("_place")
+    place = F.row_number().over(Window.partitionBy("doc_id", "body").orderBy("doc_id", "body"))
+    kept = kept.withColumn("place", place).where("place = 1").select("row.*")
     return kept.union(docs.where("doc_id is null"))

@@ -176,6 +176,17 @@ def test_pivot_index_finds_every_link_of_a_noisy_group(spark, monkeypatch, n, bl
     assert out.component_id.tolist() == label.tolist()
 
 
+def test_vectors_of_every_length_link(spark):
+    rows = [(k, [1.0, 0.0, float(k % 2)]) for k in range(6)]
+    rows += [(10, [1.0, 0.0]), (11, [1.0, 0.0]), (12, [1.0, 0.1]), (13, [0.0, 1.0]), (20, [5.0]), (21, [2.0]), (30, [1.0] * 7)]
+    out = {r.vec_id: r for r in pivots.near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    for a, x in rows:
+        links = {b for b, y in rows if b != a and len(x) == len(y) and
+                 np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9}
+        assert out[a].n_links == len(links) and out[a].component_id == min(links | {a})
+
+
 def test_pivot_bounds_rule_out_only_far_cells():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((600, 6))
@@ -348,6 +359,50 @@ def test_passages(corpus, empty):
     assert windows.repeated_passages(empty).count() == 0 == windows.without_repeats(empty).count()
 
 
+def test_rows_of_one_id_and_clashing_columns(spark):
+    # Two texts under one id, and columns named like those inside the operators.
+    shared, first, second = prose(700, 70), prose(701, 60), prose(702, 60)
+    rows = [
+        (1, f"{first} {shared} {prose(703, 20)}"), (2, f"{second} {shared}"), (2, prose(704, 150)),
+        (2, prose(704, 150)), (3, prose(705, 80)), (None, shared), (4, None),
+    ]
+    names = ["_place", "_lost", "_spans", "_doc_id", "body", "row", "place", "spans", "value", "component", "print"]
+    docs = spark.createDataFrame(
+        [(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)
+    ).repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [r for k, r in enumerate(rows) if k != 3]
+    key = lambda r: (r[0] is None, r[0], r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    left = windows.without_repeats(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=key)
+    assert len(got) == len(rows) and all(r["body"] == 4 for r in left.collect())
+    assert [t for d, t in got if d == 2].count(prose(704, 150)) == 2
+    assert any(d == 2 and t.startswith(second) and len(t) < len(second) + 10 for d, t in got)
+    assert (None, shared) in got and (4, None) in got and (1, rows[0][1]) in got
+    none = docs.where("doc_id > 9")
+    assert simhash.keep_one(none).count() == 0 == windows.without_repeats(none).count()
+
+
+def test_near_copies_of_one_id_are_one_document(spark):
+    text = prose(710, 400)
+    rows = [(1, text), (1, text + " end"), (2, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert groups == {1} and simhash.keep_one(docs).count() == 1
+
+
+def test_very_long_text_has_its_passages(spark):
+    # One text of a million words; the passage lies at its end.
+    shared = prose(720, 80)
+    long = prose(721, 1_000_000) + " " + shared
+    docs = spark.createDataFrame([(1, shared), (2, long)], "doc_id long, text string")
+    out = windows.repeated_passages(docs).collect()
+    assert any(r.doc_id == 2 and r.start_word <= 1_000_000 and r.start_word + r.n_words == 1_000_080 for r in out)
+
+
 def test_passages_of_lines_that_others_also_have(spark):
     # A block of two lines in some documents; all others have one of the lines.
     lines = [prose(200, 30), prose(201, 30)]
@@ -375,10 +430,17 @@ def test_passages_with_ambiguous_parts(monkeypatch):
     for size in (1, 50):
         monkeypatch.setattr(windows, "PAIRED", size)
         u, v = rng.integers(0, 3, 40).astype(np.uint64), rng.integers(0, 3, 30).astype(np.uint64)
-        runs = {(int(a) + d, int(b) + d) for a, b, n in zip(*windows.diagonals(u, v)) for d in range(n)}
+        runs = {(int(a) + d, int(b) + d) for a, b, n in zip(*windows.diagonals(windows.Matches(u, v))) for d in range(n)}
         assert runs == set(zip(*(c.tolist() for c in np.nonzero(u[:, None] == v))))
 
 
+def test_word_places_count_characters():
+    text = " 양파 a\tb\n\né무x \u00a0y\x0b"
+    places = list(zip(*(p.tolist() for p in windows.word_places(text))))
+    assert [text[a:b] for a, b in places] == [w.decode() for w in text.encode().split()]
+    assert not len(windows.word_places("")[0])
+
+
 def test_compact_windows_cover_each_range_once():
     values = np.random.default_rng(1).integers(0, 2**63, 60).astype(np.uint64)
     l, c, r = windows.compact_windows(values, np.array([0, 25]), np.array([25, 60]), 6)
