@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketweek.session import materialise
+
 # Number of clusters.
 CLUSTERS = 7
 # end of fixed values
+#: Decimals that features, distances and centres keep: sums in any order agree there.
+DIGITS = 9
 
 
 def cluster_counts(assigned: DataFrame) -> DataFrame:
@@ -30,25 +35,81 @@ def known_ingredients(assigned: DataFrame, names: DataFrame) -> DataFrame:
     return assigned.join(names.select("item").distinct(), "item", "left_semi")
 
 
-def cluster_pipeline(
-    categorical: list[str], numeric: list[str], k: int = CLUSTERS, seed: int = 42
-) -> Pipeline:
-    """One-hot categories and numbers, scaled, then k-means."""
+def feature_pipeline(categorical: list[str], numeric: list[str], flags: list[str]) -> Pipeline:
+    """One-hot categories, numbers and 0/1 flags as one scaled vector."""
     index = [f"{c}_index" for c in categorical]
     hot = [f"{c}_hot" for c in categorical]
     return Pipeline(
         stages=[
             StringIndexer(inputCols=categorical, outputCols=index, handleInvalid="keep"),
             OneHotEncoder(inputCols=index, outputCols=hot),
-            VectorAssembler(inputCols=[*hot, *numeric], outputCol="raw"),
+            VectorAssembler(inputCols=[*hot, *numeric, *flags], outputCol="raw"),
             StandardScaler(inputCol="raw", outputCol="features", withMean=False),
-            KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster"),
         ]
     )
 
 
-def fit_clusters(
-    ingredients: DataFrame, categorical: list[str], numeric: list[str], k: int = CLUSTERS
-) -> PipelineModel:
-    """Fit on ``log1p`` of the quantity plus categories and flags, as prepared by the caller."""
-    return cluster_pipeline(categorical, numeric, k).fit(ingredients)
+def squared_distance(features: Column, centre: list[float]) -> Column:
+    parts = F.zip_with(features, F.lit(centre), lambda a, b: (a - b) * (a - b))
+    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+
+def nearest(features: Column, centres: list[list[float]]) -> Column:
+    """``(distance, cluster)`` of the nearest centre; the lowest cluster of equally near ones."""
+    return F.array_min(F.array(*[
+        F.struct(F.round(squared_distance(features, c), DIGITS).alias("distance"), F.lit(k).alias("cluster"))
+        for k, c in enumerate(centres)
+    ]))
+
+
+def start_centres(rows: DataFrame, k: int) -> list[list[float]]:
+    """Farthest-first: a row chosen by the hash of its item, then ever the row farthest from all
+    chosen ones. Depends on the rows alone, not on their order or partitions; one row a step
+    comes to the driver. Fewer distinct rows than ``k`` give fewer centres."""
+    by = F.struct(F.md5(F.col("item").cast("string").cast("binary")), F.col("item"))
+    first = rows.agg(F.min_by("features", by).alias("features")).first()
+    centres = [] if first is None or first.features is None else [list(first.features)]
+    while centres and len(centres) < k:
+        away = nearest(F.col("features"), centres)["distance"]
+        found = rows.agg(F.max(away).alias("away"), F.min_by("features", F.struct(-away, by)).alias("features")).first()
+        if found.away <= 0:
+            break
+        centres.append(list(found.features))
+    return centres
+
+
+def cluster_items(
+    ingredients: DataFrame, categorical: list[str], numeric: list[str], flags: list[str],
+    k: int = CLUSTERS, rounds: int = 100,
+) -> tuple[DataFrame, list[list[float]]]:
+    """``(item, features, distance, cluster)`` of every row, and the centres.
+
+    K-means over categories, numbers and flags from :func:`start_centres`: rows go to their
+    nearest centre, centres to the mean of their rows, until no centre moves. The rows stay
+    distributed; ``k`` centres come to the driver a round. Sums are rounded, so labels don't
+    depend on how the rows are partitioned. A centre that loses all rows stays where it is.
+    Rows with a null item, number or flag take no part; null categories are a category of their
+    own; an empty table gives no rows and no centres.
+    """
+    whole = ingredients.dropna(subset=["item", *numeric, *flags])
+    if whole.isEmpty():
+        none = whole.select("item", F.array(F.lit(0.0)).alias("features"), F.lit(0.0).alias("distance"), F.lit(0).alias("cluster"))
+        return none, []
+    # An encoder takes no null and no empty name.
+    named = whole.withColumns({c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in categorical})
+    vectors = feature_pipeline(categorical, numeric, flags).fit(named).transform(named)
+    scaled = F.transform(vector_to_array("features"), lambda x: F.round(x, DIGITS))
+    rows = materialise(vectors.select("item", scaled.alias("features")))
+    centres = start_centres(rows, k)
+    for _ in range(rounds):
+        placed = rows.select("features", nearest(F.col("features"), centres)["cluster"].alias("cluster"))
+        means = placed.groupBy("cluster").agg(Summarizer.mean(array_to_vector("features")).alias("mean")).collect()
+        moved = list(centres)
+        for row in means:
+            moved[row.cluster] = [round(float(x), DIGITS) for x in row.mean]
+        if moved == centres:
+            break
+        centres = moved
+    return rows.select("item", "features", nearest(F.col("features"), centres).alias("at")).select(
+        "item", "features", "at.distance", "at.cluster"
+    ), centres

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -142,6 +145,68 @@ def yearly_curves(weekly: DataFrame) -> DataFrame:
     )
 
 
+#: Replicates that one digest of a row serves: 16 bits each.
+DRAWS = 8
+#: Chances of at most 0, 1, 2, ... draws of a row in a Poisson sample with mean 1, in 65536ths.
+POISSON = tuple(
+    math.floor(65536 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(n + 1))) for n in range(9)
+)
+
+
+def draw_seeds(key: Column, replicates: int) -> Column:
+    """Four hexadecimal digits a replicate from the digests of a row's ``key``: the same in any
+    order of the rows and on any partitioning."""
+    digests = F.concat(*[
+        F.md5(F.concat(key, F.lit(f"|{block}")).cast("binary")) for block in range(math.ceil(replicates / DRAWS))
+    ])
+    # One pass over the digests; a lambda would work them out anew for every replicate.
+    return F.slice(F.regexp_extract_all(digests, F.lit("(....)"), 1), 1, replicates)
+
+
+def poisson_draws(seed: Column) -> Column:
+    """How often a row is drawn, by its four digits."""
+    uniform = F.conv(seed, 16, 10).cast("int")
+    return sum((uniform >= F.lit(t)).cast("int") for t in POISSON)
+
+
+def bootstrap_band(
+    rows: DataFrame, by: Sequence[str], value: str, row_key: Column, replicates: int = 64, level: float = 0.95,
+    decimals: int = 4,
+) -> DataFrame:
+    """Mean of ``value`` per group with the band of its bootstrap means, as line charts draw it.
+
+    A Poisson bootstrap: in each replicate a row counts as often as its own draw says, so no row
+    has to know of others and replicates combine inside the scan tasks. ``row_key`` is the text
+    that names a row; it seeds the draws. Values are summed as integers of ``decimals`` places,
+    so rows come out the same at any partitioning. Null values take no part; a replicate that
+    draws no row of a group has no mean there; an empty table gives no rows.
+    """
+    units = F.floor(F.col(value) * 10**decimals + 0.5)
+    keyed = rows.where(F.col(value).isNotNull()).select(
+        *by, units.alias("_units"), row_key.alias("_key")
+    )
+    # Replicate 0 holds every row once: the mean itself.
+    seeds = F.concat(F.array(F.lit("")), F.col("_seeds"))
+    every = (
+        keyed.withColumn("_seeds", draw_seeds(F.col("_key"), replicates))
+        .select(*by, "_units", F.posexplode(seeds).alias("_replicate", "_seed"))
+        .withColumn("_draws", F.when(F.col("_replicate") == 0, 1).otherwise(poisson_draws(F.col("_seed"))))
+        .where("_draws > 0")
+    )
+    sums = every.groupBy(*by, "_replicate").agg(
+        F.sum(F.col("_units") * F.col("_draws")).alias("_sum"), F.sum("_draws").alias("_n")
+    )
+    mean = F.col("_sum") / F.col("_n") / 10**decimals
+    resampled = F.when(F.col("_replicate") > 0, mean)
+    tail = (1 - level) / 2
+    return sums.groupBy(*by).agg(
+        F.max(F.when(F.col("_replicate") == 0, F.col("_n"))).alias("n"),
+        F.max(F.when(F.col("_replicate") == 0, mean)).alias("mean"),
+        F.percentile(resampled, F.lit(tail)).alias("low"),
+        F.percentile(resampled, F.lit(1 - tail)).alias("high"),
+    )
+
+
 def lagged_correlation(
     weekly: DataFrame, weather: DataFrame, variable: str, max_lag: int = 8
 ) -> DataFrame:

@@ -85,13 +85,16 @@ def item_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingredients(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as ingredients: quantity, category, colour, cluster."""
+    """Parts as ingredients: quantity, category, colour, three flags, cluster."""
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("item"),
         F.log1p("p_retailprice").alias("log_qty"),
         F.col("p_size").cast("double").alias("size"),
         F.col("p_type").alias("category"),
         F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("colour"),
+        (F.col("p_size") > 25).cast("int").alias("starchy"),
+        F.col("p_type").contains("BRASS").cast("int").alias("eaten_raw"),
+        F.col("p_name").contains("hot").cast("int").alias("spice"),
         F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int").alias("cluster"),
     )
 

@@ -13,6 +13,7 @@ from marketweek.operators.features import weekly_features
 from marketweek.operators.substitutes import grouped_state, item_state, substitutes
 from marketweek.operators.weekly import join_weather, weather_weekly
 from marketweek.params import GbmParams
+from marketweek.session import materialise
 from suite import sql
 from suite.adapters import item_groups, panel, rounded, stored_weekly, weather_daily, weekly
 from suite.forecasts import RULES, VALIDATION, naive_validation
@@ -112,6 +113,45 @@ def gbm_cv(spark, sf):
     return gbm.yearly_cv(prepared(spark, sf), 1996, 5, PARAMS)
 
 
+#: Facts about a model hold whatever its length.
+SHORT = GbmParams(extra_features=WEATHER, rounds=5)
+
+
+@query(f"""WITH {sql.WEEKLY},
+  ahead AS (SELECT item, week, unit_price_week, lead(unit_price_week) OVER o AS y, lead(week) OVER o AS forecast_week,
+    row_number() OVER o AS rn FROM weekly WINDOW o AS (PARTITION BY item ORDER BY week))
+  SELECT item, forecast_week, {sql.r4('y')}, true AS has_log,
+    true AS is_expm1, true AS importances_sum_to_one, true AS metrics_agree
+  FROM ahead WHERE y IS NOT NULL AND rn > 12 AND week BETWEEN DATE '{VALIDATION[0]}' AND DATE '{VALIDATION[1]}'""")
+def gbm_facts(spark, sf):
+    """Keys and targets of the validated rows, with what must hold of any model: prices are
+    ``expm1`` of the predicted logs, importances sum to one, and the measures, worked out anew
+    from the predictions, are those that the library reports."""
+    rows = prepared(spark, sf)
+    model = gbm.fit(evaluation.until(rows, TRAIN_UNTIL), SHORT)
+    held = materialise(gbm.validation_predictions(model, evaluation.between(rows, *VALIDATION)))
+    reported = gbm.overall_metrics(held).first()
+    error = F.abs(F.col("y") - F.col("y_hat"))
+    again = held.agg(
+        F.avg(error).alias("mae"), (F.sum(error) / F.sum(F.abs("y"))).alias("wape"),
+        F.sqrt(F.avg((F.col("log_y") - F.col("log_hat")) ** 2)).alias("rmse_log"),
+    ).first()
+    agree = all(abs(reported[m] - again[m]) <= 1e-9 * max(1.0, abs(again[m])) for m in again.asDict())
+    total = model.importances().agg(F.sum("importance")).scalar()
+    close = lambda a, b: F.abs(a - b) <= 1e-9 * (1 + F.abs(b))
+    return rounded(held.select(
+        "item", "forecast_week", "y", close(F.col("log_y"), F.log1p("y")).alias("has_log"),
+        close(F.col("y_hat"), F.expm1("log_hat")).alias("is_expm1"),
+        (F.abs(total - 1) < 1e-6).alias("importances_sum_to_one"), F.lit(agree).alias("metrics_agree"),
+    ), "y")
+
+
+@query(None)
+def gbm_cv_summary(spark, sf):
+    """Plain mean of the measures of the yearly folds."""
+    return gbm.cv_summary(gbm.yearly_cv(prepared(spark, sf), 1996, 5, SHORT))
+
+
 @query(None)
 def gbm_substitutes(spark, sf):
     model, rows = trained(spark, sf)

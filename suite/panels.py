@@ -248,6 +248,33 @@ def yearly_curves(spark, sf):
     return rounded(profile.yearly_curves(weekly_table(spark, sf)), "mean_price")
 
 
+#: Replicates of the band of the yearly curve.
+REPLICATES = 64
+
+
+@query(f"""WITH {sql.WEEKLY},
+  rows AS (SELECT item, week, CAST(isoyear(week) AS INTEGER) AS iso_year, CAST(weekofyear(week) AS INTEGER) AS iso_week,
+    CAST(floor(unit_price_week * 10000 + 0.5) AS BIGINT) AS units FROM weekly WHERE unit_price_week IS NOT NULL),
+  drawn AS (SELECT iso_year, iso_week, units, r, CAST('0x' || substr(
+      md5(item || '|' || strftime(week, '%Y-%m-%d') || '|' || CAST(r // {profile.DRAWS} AS VARCHAR)),
+      CAST(r % {profile.DRAWS} * 4 + 1 AS INTEGER), 4) AS INTEGER) AS u FROM rows CROSS JOIN range({REPLICATES}) AS x(r)),
+  counted AS (SELECT *, {' + '.join(f'CAST(u >= {t} AS INTEGER)' for t in profile.POISSON)} AS draws FROM drawn),
+  means AS (SELECT iso_year, iso_week, r, CAST(sum(units * draws) AS DOUBLE) / nullif(sum(draws), 0) / 10000 AS m
+    FROM counted GROUP BY 1, 2, 3),
+  bands AS (SELECT iso_year, iso_week, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY 1, 2),
+  middle AS (SELECT iso_year, iso_week, count(*) AS n, CAST(sum(units) AS DOUBLE) / count(*) / 10000 AS mean FROM rows GROUP BY 1, 2)
+  SELECT iso_year, iso_week, n, {sql.r4('mean')}, {sql.r4('low')}, {sql.r4('high')}
+  FROM middle JOIN bands USING (iso_year, iso_week)""")
+def yearly_band(spark, sf):
+    """Mean price over the items by ISO year and week, with the band of its bootstrap means."""
+    rows = weekly_table(spark, sf).select(
+        "item", "week", "unit_price_week", iso_year(F.col("week")).alias("iso_year"), F.weekofyear("week").alias("iso_week")
+    )
+    key = F.concat("item", F.lit("|"), F.date_format("week", "yyyy-MM-dd"))
+    band = profile.bootstrap_band(rows, ["iso_year", "iso_week"], "unit_price_week", key, REPLICATES)
+    return rounded(band, "mean", "low", "high")
+
+
 @query(f"""WITH {sql.DAILY} SELECT week, {sql.r4('precip')}, {sql.r4('tmax')} FROM weather""")
 def weather_weekly(spark, sf):
     return rounded(weekly.weather_weekly(weather_daily(spark, sf)), "precip", "tmax")
@@ -399,12 +426,24 @@ def known_ingredients(spark, sf):
     return clusters.known_ingredients(ingredients(spark, sf), names).select("item")
 
 
-@query(None)
+@query(f"""SELECT p_partkey AS item, {clusters.CLUSTERS} AS centres, true AS nearest, true AS at_mean FROM part""")
 def kmeans(spark, sf):
-    rows = ingredients(spark, sf)
-    rows = rows.drop("cluster")
-    model = clusters.fit_clusters(rows, ["category", "colour"], ["log_qty", "size"])
-    return model.transform(rows).groupBy("cluster").agg(F.count("*").alias("items"))
+    """Every item's cluster, with what must hold of it: no other centre is nearer, and its own
+    centre is the mean of its members, both worked out anew from the rows."""
+    rows = ingredients(spark, sf).drop("cluster")
+    found, centres = clusters.cluster_items(rows, ["category", "colour"], ["log_qty"], ["starchy", "eaten_raw", "spice"])
+    values = found.select("cluster", F.posexplode("features").alias("place", "x"))
+    means = values.groupBy("cluster", "place").agg(F.avg("x").alias("x"))
+    centre = F.lit(centres)
+    off = means.groupBy("cluster").agg(
+        F.max(F.abs(F.col("x") - F.element_at(F.element_at(centre, F.col("cluster") + 1), F.col("place") + 1))).alias("off")
+    )
+    away = F.array(*[clusters.squared_distance(F.col("features"), c) for c in centres])
+    return found.join(off, "cluster").select(
+        "item", F.lit(len(centres)).alias("centres"),
+        (F.element_at(away, F.col("cluster") + 1) <= F.array_min(away) + 1e-6).alias("nearest"),
+        (F.col("off") < 1e-6).alias("at_mean"),
+    )
 
 
 @query(f"""WITH {sql.SERIES} SELECT a.item, a.week, {sql.r4('a.target', 'y')}, {sql.r4('b.target', 'y_hat')}
