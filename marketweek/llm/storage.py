@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folders: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -38,11 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: lineage ends there and lost executors cost nothing.
 
-    The written table has the same columns; an empty table stays empty with its schema.
+    Nothing goes back before the written table, so the shuffle files behind it are removed as
+    soon as it is written, instead of some time later with the driver's garbage. The written table has the same columns; an empty table stays empty with its schema.
     """
-    path = f"{shared_folder(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -26,3 +26,16 @@ def test_stages_take_effect(spark, tmp_path):
     short = {r.doc_id: r.n_chars for r in left.collect()}
     assert short[14] < len(texts[14]) - len(shared) + 5 and short[13] == len(texts[13])
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "hilbert_packing" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_restore_the_setting_of_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from marketweek.llm import storage
+
+    before = spark.conf.get(storage.CLEANUP)
+    df = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    out = storage.staged(df, "counts")
+    assert out.schema == df.schema and out.count() == 7 and spark.conf.get(storage.CLEANUP) == before
+    again = storage.staged(out.join(df, "k"), "joined")
+    assert again.count() == 7
