@@ -36,6 +36,6 @@ def test_stages_restore_the_setting_of_shuffle_files(spark):
     before = spark.conf.get(storage.CLEANUP)
     df = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
     out = storage.staged(df, "counts")
-    assert out.schema == df.schema and out.count() == 7 and spark.conf.get(storage.CLEANUP) == before
+    assert out.dtypes == df.dtypes and out.count() == 7 and spark.conf.get(storage.CLEANUP) == before
     again = storage.staged(out.join(df, "k"), "joined")
     assert again.count() == 7
