@@ -1,4 +1,4 @@
-"""Near-duplicate passages by compact windows over shingle min-hashes."""
+"""Near-duplicate passages by compact windows over hashes of shingle runs."""
 
 from __future__ import annotations
 
@@ -10,14 +10,19 @@ from marketweek.llm.bpe import batches
 from marketweek.llm.storage import ship, staged
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
-#: Hash functions, and how many of them must agree on a pair of passages.
-HASHES, AGREE = 8, 4
+LEAST = PASSAGE - SHINGLE + 1
 #: Words by which the places of one passage may shift between two texts.
 SLACK = 12
 #: Pairs of equal shingles that are in memory at once.
 PAIRED = 4_000_000
 #: Equal shingles in a row that every passage without repeats in itself has.
 SEED = 20
+#: Shingles in a row that make a key, and shingles on both sides that are compared in a run.
+GRAM, REACH = 10, 46
+#: Equal shingles around a key from which on two texts are compared in full. The passage's
+#: length next to some key has at most one changed word, so it has more even if it says a few
+#: words twice in a row.
+CLOSE = 28
 
 
 class WordHashes(dict):
@@ -113,271 +118,195 @@ def compact_windows(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, le
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-ROW = "key long, doc long, at long, width long, other long, other_at long, other_width long, target long"
-LINK = "doc long, other long, hash byte, c int, l int, r int, oc int, ol int, orr int"
+def thinned(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles without those that equal the one before, and the ones that fill a whole passage.
 
-
-def _links(key, doc, at, width, before=None):
-    """Pairs (member, earlier member) inside runs of equal keys of sorted rows.
-
-    Each member is paired with the first document of its run and with the one just before it,
-    so a run of any length gives at most two pairs a row. ``before`` is the first and the last
-    row of the run that the rows go on with.
-    """
-    if before is not None:
-        first, last = before
-        key, doc, at, width = (np.concatenate([[f, g], x]) for f, g, x in zip(first, last, (key, doc, at, width)))
-    n = len(key)
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
-    lead = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    prior = np.maximum(np.arange(n) - 1, 0)
-    own = np.arange(n) >= (2 if before is not None else 0)
-    a = np.flatnonzero(own & (doc != doc[lead]))
-    b = np.flatnonzero(own & ~new & (doc != doc[prior]) & (doc[prior] != doc[lead]))
-    member, other = np.concatenate([a, b]), np.concatenate([lead[a], prior[b]])
-    tail = tuple(int(x[lead[-1]]) for x in (key, doc, at, width)), tuple(int(x[-1]) for x in (key, doc, at, width))
-    return (key, doc, at, width), member, other, lead, new & own, tail
-
-
-def window_rows(docs: DataFrame, text: str):
-    """Compact windows of all documents, already linked where a batch holds several of a run.
-
-    ``at`` packs the minimum's place and its distance to the window's start, ``width`` the
-    distance to its end. Only the first window of a batch with some key goes to that key's
-    run; the others leave with their link, to anywhere. A key held by a third of all
-    documents thus sends one row a batch.
+    A passage of one word has one shingle; its copies meet under that, and every other text is
+    searched as if a word said over and over stood there once.
     """
-    import pyarrow as pa
+    if len(part) < LEAST:
+        # Shorter texts have no passage.
+        return part[:0], part[:0]
+    new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return part[new], np.unique(part[new][np.diff(np.append(new, len(part))) >= LEAST])
 
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
-    )
-    least = PASSAGE - SHINGLE + 1
 
-    def run(frames):
-        known = WordHashes()
-        for doc_ids, texts in batches(frames, ["doc_id", "text"], "text", 3_000_000):
-            parts = [shingles(word_hashes(t, known)) for t in texts]
-            sizes = np.array([len(p) for p in parts])
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            values = np.concatenate(parts)
-            of = np.asarray(doc_ids, np.int64)
-            columns = [[], [], [], []]
-            for f in range(HASHES):
-                hashed = mixed(values ^ mixed(np.uint64([f + 1])))
-                l, c, r = compact_windows(hashed, starts, ends, least)
-                d = np.searchsorted(ends, c, side="right")
-                own = c - starts[d]
-                # The lowest bits of the key tell the hash function.
-                key = (hashed[c] & ~np.uint64(7)) | np.uint64(f % 8)
-                for column, x in zip(columns, (key.view(np.int64), of[d], own << 32 | (c - l), r - c)):
-                    column.append(x)
-            key, doc, at, width = (np.concatenate(x) for x in columns)
-            if not len(key):
-                continue
-            order = np.lexsort((at, doc, key))
-            (key, doc, at, width), member, other, lead, new, _ = _links(*(x[order] for x in (key, doc, at, width)))
-            one = np.flatnonzero(new)
-            pick = np.concatenate([one, member])
-            linked = np.concatenate([np.zeros(len(one), bool), np.ones(len(member), bool)])
-            o = np.concatenate([one, other])
-            spread = mixed(doc[pick].view(np.uint64) + at[pick].view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (key[pick], doc[pick], at[pick], width[pick])]
-                + [pa.array(x[o], mask=~linked) for x in (doc, at, width)]
-                + [pa.array(np.where(linked, spread, key[pick]))],
-                names=["key", "doc", "at", "width", "other", "other_at", "other_width", "target"],
-            )
+def anchors(parts: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, text, place)`` of the minima of all compact windows of ``SEED`` shingles.
 
-    return rows.mapInArrow(run, ROW)
+    A key stands for ``GRAM`` shingles in a row, so every run of ``SEED`` equal shingles in two
+    texts has a key in common there, whatever stands around it.
+    """
+    values = np.concatenate(parts)
+    n = max(len(values) - GRAM + 1, 0)
+    # Shingles overlap: every SHINGLE-th one and the last hold all words.
+    hashed = np.zeros(len(values), np.uint64)
+    for k in [*range(0, GRAM - 1, SHINGLE), GRAM - 1]:
+        hashed[:n] = mixed(hashed[:n] + values[k : k + n])
+    starts = ends - np.array([len(p) for p in parts], np.int64)
+    _, c, _ = compact_windows(hashed, starts, np.maximum(starts, ends - GRAM + 1), SEED - GRAM + 1)
+    of = np.searchsorted(ends, c, side="right")
+    return hashed[c].view(np.int64), of, c
+
+
+def sorted_runs(frames, names: list[str]):
+    """Columns of sorted batches, regrouped so that no run of equal keys is cut."""
+    held = None
+    for frame in frames:
+        now = [frame.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if held is not None:
+            now = [np.concatenate([x, y]) for x, y in zip(held, now)]
+        if not len(now[0]):
+            continue
+        at = int(np.searchsorted(now[0], now[0][-1]))
+        if at:
+            yield [x[:at] for x in now]
+        held = [x[at:] for x in now]
+    if held is not None and len(held[0]):
+        yield held
 
 
-def passage_links(windows: DataFrame) -> DataFrame:
-    """Links between windows of different documents that share a min-hash."""
+def shared_keys(docs: DataFrame) -> DataFrame:
+    """``(doc, keys)``: the keys of each document that another one also has."""
     import pyarrow as pa
 
-    names = [part.split()[0] for part in LINK.split(", ")]
-
-    def unpack(key, doc, at, width, odoc, oat, owidth):
-        c, oc = at >> 32, oat >> 32
-        l, ol = c - (at & 0xFFFFFFFF), oc - (oat & 0xFFFFFFFF)
-        low = 2**31 - 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(odoc), pa.array((key & 7).astype(np.int8))]
-            + [pa.array(np.minimum(x, low).astype(np.int32)) for x in (c, l, c + width, oc, ol, oc + owidth)],
-            names=names,
-        )
-
     def run(frames):
-        before = None
-        for frame in frames:
-            got = {n: frame.column(n).to_numpy(zero_copy_only=False) for n in ("key", "doc", "at", "width")}
-            ready = frame.column("other").is_valid().to_numpy(zero_copy_only=False)
-            if ready.any():
-                o = [frame.column(n).fill_null(0).to_numpy(zero_copy_only=False)[ready]
-                     for n in ("other", "other_at", "other_width")]
-                yield unpack(*(got[n][ready] for n in ("key", "doc", "at", "width")), *o)
-            rest = [got[n][~ready] for n in ("key", "doc", "at", "width")]
-            if not len(rest[0]):
-                continue
-            rows, member, other, _, _, before = _links(*rest, before=before)
-            if len(member):
-                yield unpack(*(x[member] for x in rows), *(x[other] for x in rows[1:]))
-
-    dealt = windows.repartition("target").sortWithinPartitions("other", "key", "doc", "at")
-    return dealt.mapInArrow(run, LINK)
-
-
-def signatures(hashed, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Combined minima of all functions over every run of a passage's length, and their texts.
-
-    ``hashed`` holds the shingles under each function. A signature that goes on from one place
-    to the next is given once.
-    """
-    least = PASSAGE - SHINGLE + 1
-    n = int(ends[-1]) - least + 1 if len(ends) else 0
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.zeros(n, np.uint64)
-    for h in hashed:
-        out = mixed(out + sliding_minima(h, least)[:n])
-    d = np.searchsorted(ends, np.arange(n), side="right")
-    inside = np.arange(n) + least <= ends[d]
-    new = np.ones(n, bool)
-    new[1:] = (out[1:] != out[:-1]) | (d[1:] != d[:-1])
-    return out[inside & new], d[inside & new]
-
-
-def _neighbours(key, doc, before=None):
-    """``(doc, other)`` of members of runs of equal keys: the first document of the run, the
-    one before; which rows begin a run; and what the run goes on with."""
-    if before is not None:
-        key, doc = (np.concatenate([x, y]) for x, y in zip(before, (key, doc)))
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    prior = np.maximum(np.arange(len(key)) - 1, 0)
-    own = np.arange(len(key)) >= (2 if before is not None else 0)
-    a = np.flatnonzero(own & (doc != doc[lead]))
-    b = np.flatnonzero(own & ~new & (doc != doc[prior]) & (doc[prior] != doc[lead]))
-    pairs = np.concatenate([doc[a], doc[b]]), np.concatenate([doc[lead[a]], doc[prior[b]]])
-    last = [x[[lead[-1], len(x) - 1]] for x in (key, doc)]
-    return pairs, new & own, last
-
-
-def exact_pairs(docs: DataFrame, text: str) -> DataFrame:
-    """``(doc, other)``: each document with an earlier one for every signature they share.
-
-    Copies of a passage have its minima under all functions, whatever stands around it, so
-    they meet in one run of signatures, where nearly all members share the passage. A document
-    that has only one of the passage's lines in common with it isn't among them. A batch sends
-    one row a signature to the run and the pairs inside it.
-    """
+        known = WordHashes()
+        for doc_ids, texts in batches(frames, ["doc_id", "text"], "text", 3_000_000):
+            parts, alone = zip(*[thinned(shingles(word_hashes(t, known))) for t in texts])
+            key, of, _ = anchors(parts, np.cumsum([len(p) for p in parts]))
+            key = np.concatenate([key, *[mixed(a).view(np.int64) for a in alone]])
+            of = np.concatenate([of, np.repeat(np.arange(len(alone)), [len(a) for a in alone])])
+            rows = np.unique(np.stack([key, np.asarray(doc_ids, np.int64)[of]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["key", "doc"])
+
+    def shared(frames):
+        for key, doc in sorted_runs(frames, ["key", "doc"]):
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(new, len(key)))
+            # Sorted by document: a run of one document begins and ends with it.
+            keep = np.repeat(doc[new] != doc[new + size - 1], size)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(key[keep])], names=["doc", "key"])
+
+    rows = docs.mapInArrow(run, "key long, doc long").repartition("key").sortWithinPartitions("key", "doc")
+    found = rows.mapInArrow(shared, "doc long, key long")
+    return found.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+
+
+def surroundings(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(key, doc, around)``: the shingles around each place of a shared key, in 16 bits each,
+    0 outside the text. Equal surroundings of one text count once."""
     import pyarrow as pa
 
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
-    )
-    names = ["key", "doc", "other"]
+    names = ["key", "doc", "around"]
 
-    def signed(frames):
+    def run(frames):
         known = WordHashes()
-        for doc_ids, texts in batches(frames, ["doc_id", "text"], "text", 3_000_000):
-            parts = [shingles(word_hashes(t, known)) for t in texts]
-            sizes = np.array([len(p) for p in parts])
-            ends = np.cumsum(sizes)
-            values = np.concatenate(parts)
-            key, d = signatures((mixed(values ^ mixed(np.uint64([f + 1]))) for f in range(HASHES)), ends - sizes, ends)
-            if not len(key):
-                continue
-            key, doc = key.view(np.int64), np.asarray(doc_ids, np.int64)[d]
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            (member, other), one, _ = _neighbours(key, doc)
-            member, other = np.unique(np.stack([member, other]), axis=1)
-            none = np.zeros(len(member), bool)
+        for doc_ids, keys, texts in batches(frames, ["doc", "keys", "text"], "text", 3_000_000):
+            parts, alone = zip(*[thinned(shingles(word_hashes(t, known))) for t in texts])
+            ends = np.cumsum([len(p) for p in parts])
+            key, of, place = anchors(parts, ends)
+            sizes = [len(k) for k in keys]
+            wanted = np.stack([np.repeat(np.arange(len(keys)), sizes), np.concatenate(keys).astype(np.int64)])
+            # Keys are looked up by text and key at once.
+            mine = mixed(key.view(np.uint64) + mixed(of.astype(np.uint64)))
+            wanted = np.sort(mixed(wanted[1].view(np.uint64) + mixed(wanted[0].astype(np.uint64))))
+            some = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+            key, of, place = key[some], of[some], place[some]
+            short = np.maximum(np.concatenate(parts) >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+            for lo in range(0, len(key), 20_000):
+                s = slice(lo, lo + 20_000)
+                at = place[s, None] + np.arange(-REACH, GRAM + REACH)
+                starts = (ends - [len(p) for p in parts])[of[s], None]
+                inside = (at >= starts) & (at < ends[of[s], None])
+                around = np.where(inside, short[np.clip(at, 0, len(short) - 1)], np.uint16(0))
+                rows = list(dict.fromkeys(zip(key[s].tolist(), of[s].tolist(), (r.tobytes() for r in around))))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([doc_ids[r[1]] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.binary()),
+                ], names=names)
+            pairs = [(int(k), d) for a, d in zip(alone, doc_ids) for k in mixed(a).view(np.int64)]
+            alike = np.ones(GRAM + 2 * REACH, np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays([
-                # Pairs are ready; their place is of no matter.
-                pa.array(np.concatenate([key[one], mixed((member ^ (other << 20)).view(np.uint64)).view(np.int64)])),
-                pa.array(np.concatenate([doc[one], member])),
-                pa.array(np.concatenate([doc[one], other]), mask=np.concatenate([np.ones(one.sum(), bool), none])),
+                pa.array([k for k, _ in pairs], pa.int64()), pa.array([d for _, d in pairs], pa.int64()),
+                pa.array([alike] * len(pairs), pa.binary()),
             ], names=names)
 
-    def run(frames):
-        before = None
-        for frame in frames:
-            key, doc = (frame.column(n).to_numpy(zero_copy_only=False) for n in names[:2])
-            ready = frame.column("other").is_valid().to_numpy(zero_copy_only=False)
-            other = frame.column("other").fill_null(0).to_numpy(zero_copy_only=False)[ready]
-            member, key, doc = doc[ready], key[~ready], doc[~ready]
-            if len(key):
-                (more, earlier), _, before = _neighbours(key, doc, before)
-                member, other = np.concatenate([member, more]), np.concatenate([other, earlier])
-            if len(member):
-                member, other = np.unique(np.stack([member, other]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(other, pa.int64())], names=names[1:])
-
-    dealt = rows.mapInArrow(signed, "key long, doc long, other long").repartition("key")
-    return dealt.sortWithinPartitions("other", "key", "doc").mapInArrow(run, "doc long, other long")
-
-
-def agreeing(frame) -> bool:
-    """Whether windows of at least ``AGREE`` hash functions overlap in both documents of a
-    pair, at about the same shift."""
-    shift = frame["oc"] - frame["c"]
-    order = np.lexsort((frame["c"], shift))
-    cut = np.flatnonzero(np.diff(shift[order]) > SLACK) + 1
-    for part in np.split(order, cut):
-        if len(part) < AGREE:
-            continue
-        part = part[np.argsort(frame["c"][part], kind="stable")]
-        r, orr = (np.maximum.accumulate(frame[n][part]) for n in ("r", "orr"))
-        apart = (frame["l"][part][1:] > r[:-1]) | (frame["ol"][part][1:] > orr[:-1])
-        for p in np.split(part, np.flatnonzero(apart) + 1):
-            if len(np.unique(frame["hash"][p])) >= AGREE:
-                return True
-    return False
+    joined = keys.hint("merge").join(docs, F.col("doc") == F.col("doc_id")).select("doc", "keys", "text")
+    return joined.mapInArrow(run, "key long, doc long, around binary")
 
 
-def candidates(links: DataFrame) -> DataFrame:
-    """Interval join of the links of each pair of documents: pairs worth a comparison."""
-    import pyarrow as pa
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of each row of x whose shingle its row of y has anywhere."""
+    out = [((p[:, :, None] == q[:, None, :]).any(axis=2) & (p != 0)).sum(axis=1)
+           for p, q in ((x[k : k + 1000], y[k : k + 1000]) for k in range(0, len(x), 1000))]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    names = ["doc", "other"]
 
-    def pairs(table: dict):
-        change = np.flatnonzero((np.diff(table["doc"]) != 0) | (np.diff(table["other"]) != 0)) + 1
-        bounds = np.concatenate([[0], change, [len(table["doc"])]])
-        enough = np.flatnonzero(np.diff(bounds) >= AGREE)
-        out = []
-        for k in enough:
-            one = {n: v[bounds[k] : bounds[k + 1]] for n, v in table.items()}
-            if agreeing(one):
-                out.append((int(one["doc"][0]), int(one["other"][0])))
-        columns = list(zip(*out)) if out else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+def _links(doc: np.ndarray, around: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs ``(doc, earlier doc)`` of one run of a key, its rows sorted by document.
 
-    def run(frames):
-        held = None
-        for frame in frames:
-            now = {n: frame.column(n).to_numpy(zero_copy_only=False) for n in frame.schema.names}
-            if not len(now["doc"]):
-                continue
-            if held is not None:
-                now = {n: np.concatenate([held[n], now[n]]) for n in now}
-            # The last pair may go on in the next batch.
-            last = (now["doc"] == now["doc"][-1]) & (now["other"] == now["other"][-1])
-            at = len(last) - int(last.sum())
-            if at:
-                yield pairs({n: v[:at] for n, v in now.items()})
-            held = {n: v[at:] for n, v in now.items()}
-        if held is not None:
-            yield pairs(held)
+    A row that has a passage's length of shingles in common with an earlier one, without a gap
+    around the key, is a copy of it there and goes to its class. Every row is compared with the
+    first row of every class, a copy also with the row before it in its class; rows of different
+    classes meet where enough shingles around the key are equal. What a class's first row lacks
+    is looked for in its other rows.
+    """
+    first = np.empty(around.shape, around.dtype)
+    row = np.zeros(len(doc), np.int64)
+    others: list[list[int]] = []
+    met: list[set[int]] = []
+    seen = np.zeros(1 << 16, bool)
+    found = set()
+    for i, mine in enumerate(around):
+        k = len(others)
+        seen[mine] = True
+        seen[0] = False
+        near = np.flatnonzero(np.count_nonzero(seen[first[:k]], axis=1) >= CLOSE)
+        same = (first[near] == mine) & (mine != 0)
+        right = np.logical_and.accumulate(same[:, REACH:], axis=1).sum(axis=1)
+        left = np.logical_and.accumulate(same[:, REACH - 1 :: -1], axis=1).sum(axis=1)
+        copies = near[left + right >= LEAST]
+        if len(copies):
+            own = int(copies[0])
+            meets = [row[c] for c in near if c == own or c not in met[own]] + others[own][-1:]
+            others[own].append(i)
+        else:
+            meets = row[near]
+            first[k], row[k] = mine, i
+            met.append(set(near.tolist()))
+            for c in near:
+                met[c].add(k)
+            others.append([])
+            far = [r for c in set(range(k)).difference(near.tolist()) for r in others[c]]
+            if far:
+                hits = np.count_nonzero(seen[around[far]], axis=1) >= CLOSE
+                meets = np.concatenate([meets, np.array(far)[hits]])
+        found.update((int(doc[i]), int(d)) for d in set(doc[np.asarray(meets, np.int64)].tolist()) if d != doc[i])
+        seen[mine] = False
+    return found
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """``(doc, other)``: pairs of documents that may share a passage, from :func:`surroundings`."""
+    import pyarrow as pa
 
-    dealt = links.repartition("doc", "other").sortWithinPartitions("doc", "other")
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    def run(frames):
+        for key, doc, around in sorted_runs(frames, ["key", "doc", "around"]):
+            around = np.frombuffer(b"".join(around), np.uint16).reshape(len(key), GRAM + 2 * REACH)
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(new, len(key)))
+            two = new[size == 2]
+            two = two[doc[two] != doc[two + 1]]
+            two = two[_common(around[two], around[two + 1]) >= CLOSE]
+            found = set(zip(doc[two + 1].tolist(), doc[two].tolist()))
+            for lo, n in zip(new[size > 2], size[size > 2]):
+                if doc[lo] != doc[lo + n - 1]:
+                    found |= _links(doc[lo : lo + n], around[lo : lo + n])
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc", "other"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "around").mapInArrow(run, "doc long, other long").distinct()
 
 
 class Matches:
@@ -501,15 +430,14 @@ class Overlap:
 def similar_parts(overlap: Overlap, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Passages of one chain; what falls short is split at its widest gap."""
     work, out = [(0, len(i))], []
-    least = PASSAGE - SHINGLE + 1
     while work:
         a, b = work.pop()
-        if b - a < SIMILARITY * least:
+        if b - a < SIMILARITY * LEAST:
             continue
         nx, ny = i[b - 1] - i[a] + 1, j[b - 1] - j[a] + 1
         score = overlap.score(i[a], i[b - 1] + 1, j[a], j[b - 1] + 1)
         if score >= SIMILARITY:
-            if min(nx, ny) >= least:
+            if min(nx, ny) >= LEAST:
                 out.append((int(i[a]), int(i[b - 1]) + 1, int(j[a]), int(j[b - 1]) + 1, score))
             continue
         gaps = np.maximum(i[a + 1 : b] - i[a : b - 1], j[a + 1 : b] - j[a : b - 1])
@@ -655,14 +583,14 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     One row per passage and earlier document: place in words and characters, the other
     document (its doc_id is smaller) and its place, and the Jaccard similarity of their sets
     of five-word shingles, ``SIMILARITY`` or more. Words are runs between ASCII white space;
-    A-Z count as a-z. The first document of a group of copies has no row, each other one is
-    compared with the first and with its predecessor, so a group of any size gives rows in
-    proportion and none of its members is missed.
+    A-Z count as a-z. The first document of a group of copies of a passage has no row, each
+    other one is compared with the first and with its predecessor, so a group of any size gives
+    rows in proportion and none of its members is missed; different passages are compared with
+    each other, by the first of their groups.
 
-    Every hash function groups all passages of a text into compact windows; windows with one
-    minimum meet; pairs of documents where enough functions agree are verified on their
-    words. An exact copy of a passage agrees under all of them, and is also paired by all of
-    them at once, since the windows of one function may meet those of other documents first.
+    A hash function over runs of ``GRAM`` shingles groups all runs of ``SEED`` of a text into
+    compact windows; windows with one minimum meet, so texts with an equal run meet for sure.
+    Those whose shingles agree around it are verified on their words.
 
     Null texts and null doc_ids take no part; rows that repeat a doc_id with the same text count
     as one; different texts under one doc_id are told apart by ``body``, the hash of the text
@@ -670,7 +598,11 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     are ignored.
     """
     ship(docs.sparkSession)
-    pairs = candidates(passage_links(window_rows(docs, text))).union(exact_pairs(docs, text)).distinct()
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+    )
+    keys = staged(shared_keys(rows), "keys")
+    pairs = candidates(surroundings(rows, keys))
     return verified(staged(pairs, "pairs"), docs, text)
 
 

@@ -416,6 +416,45 @@ def test_passages_of_lines_that_others_also_have(spark):
     assert set(whole.doc_id) == block - {min(block)}
 
 
+def test_passages_link_all_different_texts(spark):
+    # Variants of some passages, one word changed in each so that none holds another's 50 words,
+    # and a line that strangers share.
+    rng = random.Random(11)
+    line, rows = prose(800, 18), []
+    for g in range(6):
+        passage = prose(810 + g, 60).split()
+        for k in range(20):
+            words = list(passage)
+            words[rng.randrange(12, 48)] = f"other{k}"
+            n = len(rows)
+            rows.append((n, " ".join([prose(2000 + n, 30), " ".join(words if k else passage), prose(4000 + n, 30)])))
+    for _ in range(60):
+        n = len(rows)
+        rows.append((n, " ".join([prose(2000 + n, 40), line, prose(4000 + n, 40)])))
+    rng.shuffle(rows)
+    hashed = {n: windows.shingles(windows.word_hashes(text, windows.WordHashes())) for n, text in rows}
+    want = {(a, b) for a in hashed for b in range(a) if windows.similar_spans(hashed[a], hashed[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.other_doc_id) for r in windows.repeated_passages(docs).collect()}
+    assert got == want and len(want) > 6 * 19
+
+
+def test_runs_link_classes_by_their_first_rows():
+    rng = np.random.default_rng(6)
+    around = lambda *parts: np.concatenate(parts).astype(np.uint16)
+    some = lambda n: rng.integers(1, 1 << 16, n)
+    key, tail, head = some(10), some(46), some(46)
+    copies = [around(some(46), key, tail) for _ in range(40)]
+    strangers = [around(some(46), key, some(46)) for _ in range(5)]
+    # Unlike the first copy, like the third one: with its beginning, and an end of its own.
+    copies[2][:46] = head
+    odd = around(head, key, some(46))
+    rows = [*copies, *strangers, odd]
+    assert windows._links(np.arange(len(rows)), np.stack(rows)) == (
+        {(i, 0) for i in range(1, 40)} | {(i, i - 1) for i in range(2, 40)} | {(45, 2)})
+    assert windows._links(np.zeros(46, np.int64), np.stack(rows)) == set()
+
+
 def test_passages_with_ambiguous_parts(monkeypatch):
     rng = np.random.default_rng(4)
     some = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
