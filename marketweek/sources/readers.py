@@ -32,6 +32,20 @@ FALLBACK_ENCODING = "cp949"
 # end of fixed values
 
 
+def file_facts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(path, utf8, header)`` of every file: whether all lines are UTF-8, a hash of the first.
+
+    Sums of plain numbers: a task holds one row a file and sorts no lines.
+    """
+    # The first line of a file: in the block at offset 0, the first row read.
+    at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), at.alias("at"))
+    return lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.min_by(F.xxhash64("value"), "at").alias("header"),
+    )
+
+
 def group_files(
     spark: SparkSession, paths: Sequence[str], fallback: str = FALLBACK_ENCODING
 ) -> list[tuple[str, list[str]]]:
@@ -42,16 +56,7 @@ def group_files(
     are, else it has the ``fallback`` encoding. The executors test every line; one short row
     per file comes back, no more than the driver holds for the scan itself.
     """
-    lines = spark.read.text(list(paths)).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        # The first line of a file: the block at offset 0, and there the first row read.
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
-    )
-    verdict = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.min_by(F.xxhash64("value"), "at").alias("header"),
-    )
+    verdict = file_facts(spark, paths)
     found: dict[tuple[str, int], list[str]] = {}
     for row in verdict.orderBy("path").toLocalIterator():
         encoding = "utf-8" if row.utf8 else fallback

@@ -100,3 +100,14 @@ def test_fallback_encoding_needs_its_setting(spark, tmp_path):
     finally:
         spark.conf.set(readers.CHARSETS, "true")
     assert readers.read_csv(spark, str(path)).first()["품목명"] == "사과"
+
+
+def test_file_facts_sort_no_lines(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text("x,y\n" + "1,2\n" * 50)
+    (tmp_path / "b.csv").write_bytes("y,x\n양파,2\n".encode("cp949"))
+    facts = readers.file_facts(spark, [str(tmp_path)])
+    facts.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    found = {r.path.rsplit("/", 1)[1]: r for r in facts.collect()}
+    assert found["a.csv"].utf8 and not found["b.csv"].utf8 and found["a.csv"].header != found["b.csv"].header
