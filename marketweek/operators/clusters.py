@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweek.session import materialise
+from marketweek.session import materialise, spread
 
 # Number of clusters.
 CLUSTERS = 7
@@ -62,22 +62,78 @@ def nearest(features: Column, centres: list[list[float]]) -> Column:
     ]))
 
 
+def measure(centres: list[list[float]]):
+    """Function from Arrow features to ``(matrix, rounded distances, clusters)``: whole batches at
+    once, by the rule of :func:`nearest`."""
+
+    def measured(features):
+        import numpy as np
+
+        x = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), -1)
+        away = np.stack([((x - np.array(c)) ** 2).sum(axis=1) for c in centres]).round(DIGITS)
+        return x, away.min(axis=0), away.argmin(axis=0)
+
+    return measured
+
+
 def start_centres(rows: DataFrame, k: int) -> list[list[float]]:
     """Farthest-first: a row chosen by the hash of its item, then ever the row farthest from all
     chosen ones. Depends on the rows alone, not on their order or partitions; one row a step
-    comes to the driver. Fewer distinct rows than ``k`` give fewer centres."""
-    by = F.struct(F.md5(F.col("item").cast("string").cast("binary")), F.col("item"))
-    first = rows.agg(F.min_by("features", by).alias("features")).first()
+    comes to the driver. Fewer distinct rows than ``k`` give fewer centres.
+
+    ``rows`` has ``features`` and ``by``, the hash."""
+    import pyarrow as pa
+
+    first = rows.agg(F.min_by("features", "by").alias("features")).first()
     centres = [] if first is None or first.features is None else [list(first.features)]
     while centres and len(centres) < k:
-        away = nearest(F.col("features"), centres)["distance"]
-        found = rows.agg(F.max(away).alias("away"), F.min_by("features", F.struct(-away, by)).alias("features")).first()
+        measured = measure(centres)
+
+        def farthest(frames):
+            for frame in frames:
+                if not frame.num_rows:
+                    continue
+                _, away, _ = measured(frame.column("features"))
+                by = frame.column("by").to_pylist()
+                best = min((away == away.max()).nonzero()[0].tolist(), key=by.__getitem__)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([away[best]]), *(frame.column(n).slice(best, 1) for n in ("by", "features"))],
+                    names=["away", "by", "features"],
+                )
+
+        found = rows.select("by", "features").mapInArrow(farthest, "away double, by string, features array<double>").agg(
+            F.max("away").alias("away"), F.min_by("features", F.struct(-F.col("away"), "by")).alias("features")
+        ).first()
         if found.away <= 0:
             break
         centres.append(list(found.features))
     return centres
 
 
+def cluster_means(rows: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """``(cluster, mean)`` of the rows nearest to each centre; ``n`` items have a row's features."""
+    import pyarrow as pa
+
+    measured = measure(centres)
+
+    def sums(frames):
+        for frame in frames:
+            if not frame.num_rows:
+                continue
+            x, _, cluster = measured(frame.column("features"))
+            n = frame.column("n").to_numpy().astype(float)
+            own = [k for k in range(len(centres)) if (cluster == k).any()]
+            weights = [float(n[cluster == k].sum()) for k in own]
+            means = [n[cluster == k] @ x[cluster == k] / w for k, w in zip(own, weights)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int32()), pa.array(weights), pa.array([m.tolist() for m in means], pa.list_(pa.float64()))],
+                names=["cluster", "n", "mean"],
+            )
+
+    parts = rows.select("features", "n").mapInArrow(sums, "cluster int, n double, mean array<double>")
+    return parts.groupBy("cluster").agg(Summarizer.mean(array_to_vector("mean"), F.col("n")).alias("mean"))
+
+
 def cluster_items(
     ingredients: DataFrame, categorical: list[str], numeric: list[str], flags: list[str],
     k: int = CLUSTERS, rounds: int = 100,
@@ -86,10 +142,10 @@ def cluster_items(
 
     K-means over categories, numbers and flags from :func:`start_centres`: rows go to their
     nearest centre, centres to the mean of their rows, until no centre moves. The rows stay
-    distributed; ``k`` centres come to the driver a round. Sums are rounded, so labels don't
-    depend on how the rows are partitioned. A centre that loses all rows stays where it is.
-    Rows with a null item, number or flag take no part; null categories are a category of their
-    own; an empty table gives no rows and no centres.
+    distributed, those with equal values as one with their number; ``k`` centres come to the
+    driver a round. Sums are rounded, so labels don't depend on how the rows are partitioned. A
+    centre that loses all rows stays where it is. Rows with a null item, number or flag take no
+    part; null categories are a category of their own; an empty table gives no rows and no centres.
     """
     whole = ingredients.dropna(subset=["item", *numeric, *flags])
     if whole.isEmpty():
@@ -97,19 +153,21 @@ def cluster_items(
         return none, []
     # An encoder takes no null and no empty name.
     named = whole.withColumns({c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in categorical})
-    vectors = feature_pipeline(categorical, numeric, flags).fit(named).transform(named)
+    # Many rows fit in a small file, which one task would read in every pass.
+    named = materialise(spread(named.select("item", *categorical, *numeric, *flags), "item"))
+    model = feature_pipeline(categorical, numeric, flags).fit(named)
     scaled = F.transform(vector_to_array("features"), lambda x: F.round(x, DIGITS))
-    rows = materialise(vectors.select("item", scaled.alias("features")))
+    by = F.md5(F.col("item").cast("string").cast("binary"))
+    kinds = named.groupBy(*categorical, *numeric, *flags).agg(F.min(by).alias("by"), F.count("*").alias("n"))
+    rows = materialise(spread(model.transform(kinds).select("by", "n", scaled.alias("features")), "by"))
     centres = start_centres(rows, k)
     for _ in range(rounds):
-        placed = rows.select("features", nearest(F.col("features"), centres)["cluster"].alias("cluster"))
-        means = placed.groupBy("cluster").agg(Summarizer.mean(array_to_vector("features")).alias("mean")).collect()
         moved = list(centres)
-        for row in means:
+        for row in cluster_means(rows, centres).collect():
             moved[row.cluster] = [round(float(x), DIGITS) for x in row.mean]
         if moved == centres:
             break
         centres = moved
-    return rows.select("item", "features", nearest(F.col("features"), centres).alias("at")).select(
-        "item", "features", "at.distance", "at.cluster"
-    ), centres
+    return model.transform(named).select("item", scaled.alias("features")).select(
+        "item", "features", nearest(F.col("features"), centres).alias("at")
+    ).select("item", "features", "at.distance", "at.cluster"), centres

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from marketweek.functions.scalar import (
@@ -432,12 +434,10 @@ def kmeans(spark, sf):
     centre is the mean of its members, both worked out anew from the rows."""
     rows = ingredients(spark, sf).drop("cluster")
     found, centres = clusters.cluster_items(rows, ["category", "colour"], ["log_qty"], ["starchy", "eaten_raw", "spice"])
-    values = found.select("cluster", F.posexplode("features").alias("place", "x"))
-    means = values.groupBy("cluster", "place").agg(F.avg("x").alias("x"))
-    centre = F.lit(centres)
-    off = means.groupBy("cluster").agg(
-        F.max(F.abs(F.col("x") - F.element_at(F.element_at(centre, F.col("cluster") + 1), F.col("place") + 1))).alias("off")
-    )
+    means = found.groupBy("cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("mean"))
+    centre = F.element_at(F.lit(centres), F.col("cluster") + 1)
+    gaps = F.zip_with("mean", centre, lambda a, b: F.abs(a - b))
+    off = means.select("cluster", F.array_max(gaps).alias("off"))
     away = F.array(*[clusters.squared_distance(F.col("features"), c) for c in centres])
     return found.join(off, "cluster").select(
         "item", F.lit(len(centres)).alias("centres"),

@@ -66,6 +66,19 @@ def test_clusters_of_few_and_no_rows(spark):
     assert none == {} and no_centres == []
 
 
+def test_rounds_read_equal_rows_once(spark, monkeypatch):
+    kinds, kept = [("root", "r", 1.0, 0, 1, 0), ("leaf", "g", 2.0, 1, 0, 0), (None, "r", 4.0, 0, 0, 1)], []
+    rows = [(f"i{k}", *kinds[k % 7 % 3]) for k in range(700)]
+    whole = clusters.materialise
+    monkeypatch.setattr(clusters, "materialise", lambda df: kept.append(df.count()) or whole(df))
+    out, centres = found(spark, rows, 5, 2)
+    assert kept == [700, 3] and len(out) == 700 and len(centres) == 2
+    x = np.array([out[i][1] for i, *_ in rows])
+    label = np.array([out[i][0] for i, *_ in rows])
+    # Each row weighs as often as it is there.
+    assert all(np.abs(x[label == k].mean(axis=0) - centres[k]).max() < 1e-6 for k in range(2))
+
+
 @pytest.fixture(scope="module")
 def prices(spark):
     rng = random.Random(5)
