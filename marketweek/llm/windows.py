@@ -255,7 +255,6 @@ def _links(doc: np.ndarray, around: np.ndarray) -> set[tuple[int, int]]:
     first = np.empty(around.shape, around.dtype)
     row = np.zeros(len(doc), np.int64)
     others: list[list[int]] = []
-    met: list[set[int]] = []
     seen = np.zeros(1 << 16, bool)
     found = set()
     for i, mine in enumerate(around):
@@ -269,14 +268,11 @@ def _links(doc: np.ndarray, around: np.ndarray) -> set[tuple[int, int]]:
         copies = near[left + right >= LEAST]
         if len(copies):
             own = int(copies[0])
-            meets = [row[c] for c in near if c == own or c not in met[own]] + others[own][-1:]
+            meets = row[near].tolist() + others[own][-1:]
             others[own].append(i)
         else:
             meets = row[near]
             first[k], row[k] = mine, i
-            met.append(set(near.tolist()))
-            for c in near:
-                met[c].add(k)
             others.append([])
             far = [r for c in set(range(k)).difference(near.tolist()) for r in others[c]]
             if far:
