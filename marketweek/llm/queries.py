@@ -59,7 +59,7 @@ def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.repeated_passages(_table(spark, sf_dir, "documents"))
+    return windows.passage_classes(_table(spark, sf_dir, "documents"))
 
 
 def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

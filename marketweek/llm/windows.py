@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweek.llm.bpe import batches
+from marketweek.llm.components import connected_components
 from marketweek.llm.storage import ship, staged
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
@@ -23,6 +24,12 @@ GRAM, REACH = 10, 46
 #: length next to some key has at most one changed word, so it has more even if it says a few
 #: words twice in a row.
 CLOSE = 28
+#: Equal places of a passage that make up for one that differs: one of nine may.
+WEIGHT = round(2 * SIMILARITY / (1 - SIMILARITY))
+#: Rows of a run that are all compared with each other.
+FEW = 6
+#: Nearly equal rows of a run that are looked at before all others.
+TOP = 16
 
 
 class WordHashes(dict):
@@ -194,16 +201,19 @@ def shared_keys(docs: DataFrame) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(key, doc, around)``: the shingles around each place of a shared key, in 16 bits each,
-    0 outside the text. Equal surroundings of one text count once."""
+    """``(key, doc, thin, around)``: the shingles around each place of a shared key, in 16 bits
+    each, 0 outside the text. Equal surroundings of one text count once. ``thin``: places of a
+    word said over and over were left out of the text."""
     import pyarrow as pa
 
-    names = ["key", "doc", "around"]
+    names = ["key", "doc", "thin", "around"]
 
     def run(frames):
         known = WordHashes()
         for doc_ids, keys, texts in batches(frames, ["doc", "keys", "text"], "text", 3_000_000):
-            parts, alone = zip(*[thinned(shingles(word_hashes(t, known))) for t in texts])
+            whole = [shingles(word_hashes(t, known)) for t in texts]
+            parts, alone = zip(*[thinned(part) for part in whole])
+            thin = [len(p) < len(part) for p, part in zip(parts, whole)]
             ends = np.cumsum([len(p) for p in parts])
             key, of, place = anchors(parts, ends)
             sizes = [len(k) for k in keys]
@@ -223,17 +233,17 @@ def surroundings(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 rows = list(dict.fromkeys(zip(key[s].tolist(), of[s].tolist(), (r.tobytes() for r in around))))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([r[0] for r in rows], pa.int64()), pa.array([doc_ids[r[1]] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.binary()),
+                    pa.array([thin[r[1]] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary()),
                 ], names=names)
             pairs = [(int(k), d) for a, d in zip(alone, doc_ids) for k in mixed(a).view(np.int64)]
             alike = np.ones(GRAM + 2 * REACH, np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays([
                 pa.array([k for k, _ in pairs], pa.int64()), pa.array([d for _, d in pairs], pa.int64()),
-                pa.array([alike] * len(pairs), pa.binary()),
+                pa.array([True] * len(pairs), pa.bool_()), pa.array([alike] * len(pairs), pa.binary()),
             ], names=names)
 
     joined = keys.hint("merge").join(docs, F.col("doc") == F.col("doc_id")).select("doc", "keys", "text")
-    return joined.mapInArrow(run, "key long, doc long, around binary")
+    return joined.mapInArrow(run, "key long, doc long, thin boolean, around binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -283,13 +293,196 @@ def _links(doc: np.ndarray, around: np.ndarray) -> set[tuple[int, int]]:
     return found
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """``(doc, other)``: pairs of documents that may share a passage, from :func:`surroundings`."""
+def _runs_to_key(step: np.ndarray, least) -> np.ndarray:
+    """The largest sum of ``step`` over a stretch of ``least`` places or more that holds the key."""
+    flat = np.zeros((len(step), 1), np.int32)
+    right = np.concatenate([flat, np.cumsum(step[:, REACH + GRAM :], axis=1, dtype=np.int32)], axis=1)
+    left = np.concatenate([flat, np.cumsum(step[:, REACH - 1 :: -1], axis=1, dtype=np.int32)], axis=1)
+    right = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
+    if np.ndim(least):
+        rest = np.maximum(least[:, None] - GRAM - np.arange(REACH + 1), 0)
+        right = np.take_along_axis(right, rest, axis=1)
+    else:
+        right = right[:, np.maximum(least - GRAM - np.arange(REACH + 1), 0)]
+    return (left + right).max(axis=1) + step[:, REACH : REACH + GRAM].sum(axis=1, dtype=np.int32)
+
+
+def _one_gap(has: np.ndarray) -> np.ndarray:
+    """Whether places miss in one piece alone, too long for a whole passage around it to be
+    within reach: what follows must be looked up."""
+    missing = has.shape[1] - np.count_nonzero(has, axis=1)
+    edges = np.count_nonzero(has[:, 1:] != has[:, :-1], axis=1)
+    return (edges == 2) & has[:, 0] & has[:, -1] & (missing > SHINGLE + 1) & (missing <= 2 * SHINGLE)
+
+
+def _sure(x: np.ndarray, y: np.ndarray, plain: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Whether rows of x and y surely share a passage along the key.
+
+    A changed word takes ``SHINGLE`` places or more; where fewer differ, one may seem equal by
+    its 16 bits alone and doesn't count. Nor do the ``again`` places that repeat another one.
+    Rows that aren't ``plain`` must be equal over a passage's whole length.
+    """
+    same = (x == y) & (x != 0)
+    gain = _runs_to_key(np.where(same, 1, -WEIGHT).astype(np.int8), LEAST) - (WEIGHT + 1) * again
+    sure = (gain >= 0) & plain
+    rest = np.flatnonzero(sure & (gain <= WEIGHT))
+    if len(rest):
+        has = same[rest]
+        gap = np.ones(len(rest), bool)
+        for n in range(1, SHINGLE):
+            ends = has[:, : -n - 1] & has[:, n + 1 :]
+            for k in range(1, n + 1):
+                ends &= ~has[:, k : k - n - 1]
+            gap &= ~ends.any(axis=1)
+        sure[rest] = gap
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        right = np.logical_and.accumulate(same[rest, REACH:], axis=1).sum(axis=1)
+        left = np.logical_and.accumulate(same[rest, REACH - 1 :: -1], axis=1).sum(axis=1)
+        sure[rest] = left + right >= LEAST
+    return sure
+
+
+def _possible(x: np.ndarray, y: np.ndarray, thin: np.ndarray) -> np.ndarray:
+    """Whether rows of x and y may share a passage around the key, at whatever shift.
+
+    A passage of the wanted similarity has ``WEIGHT`` equal places for one that differs, and a
+    smallest part of it that has as many holds one gap at most, with a key beside it. ``thin``:
+    places of a repeated word were left out, so a passage may be shorter here.
+    """
+    out = np.zeros(len(x), bool)
+    for lo in range(0, len(x), 1000):
+        s = slice(lo, lo + 1000)
+        equal = (x[s][:, :, None] == y[s][:, None, :]) & (x[s] != 0)[:, :, None]
+        one, two = equal.any(axis=2), equal.any(axis=1)
+        least = np.where(thin[s], CLOSE, LEAST)
+        gain = sum(_runs_to_key(np.where(has, 1, -WEIGHT).astype(np.int8), least) for has in (one, two))
+        out[s] = (np.count_nonzero(one, axis=1) >= CLOSE) & (
+            (gain >= 0) | _one_gap(one[:, REACH:]) | _one_gap(one[:, : REACH + GRAM]))
+    return out
+
+
+def _firsts(run: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """For each row the first one of its run with the same surroundings, of a passage's length."""
+    digest = mixed(run.astype(np.uint64))
+    for column in np.ascontiguousarray(around).view(np.uint16).T:
+        digest = (digest ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        digest ^= digest >> np.uint64(29)
+    order = np.argsort(digest, kind="stable")
+    new = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
+    first = np.empty(len(run), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    equal = (run[first] == run) & (around[first] == around).all(axis=1) & (np.count_nonzero(around, axis=1) >= LEAST)
+    return np.where(equal, first, np.arange(len(run)))
+
+
+def _forest(doc: np.ndarray, around: np.ndarray, thin: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs ``(doc, earlier doc)`` that connect what all pairs of one run connect.
+
+    A row that surely shares a passage with an earlier one joins its class and meets no other
+    row of it: rows of a class are linked through each other, and the row's own passage is found
+    with the one it joins. Classes that a row joins both become one. A row that joins none is
+    compared with all rows, and meets those of other classes that may share a passage with it.
+    """
+    found = set()
+    m = len(doc)
+    some = np.sort(around, axis=1)
+    # Shingles that repeat count once in a similarity.
+    again = np.count_nonzero((some[:, 1:] == some[:, :-1]) & (some[:, 1:] != 0), axis=1)
+    lead, members, own = (np.zeros(m, np.int64) for _ in range(3))
+    first = np.empty(around.shape, around.dtype)
+    root = np.arange(m)  # by class: the one it has become
+    k = n = 0
+    seen = np.zeros(1 << 16, bool)
+
+    def surely(i: int, rows: np.ndarray, classes: np.ndarray) -> tuple[list, list]:
+        """Of each class that row i surely meets in ``rows``: the class, and the first such row."""
+        sure = _sure(around[rows], around[i : i + 1], ~thin[rows] & ~thin[i], np.maximum(again[rows], again[i]))
+        links = dict(zip(classes[sure][::-1].tolist(), rows[sure][::-1].tolist()))
+        return list(links), list(links.values())
+
+    def search(i: int, rows: np.ndarray, of: np.ndarray, values: np.ndarray) -> tuple[list, list, np.ndarray]:
+        """Classes that row i surely meets, a row of each, and rows of others that it may meet."""
+        classes = root[of]
+        equal = np.count_nonzero(values == around[i], axis=1)
+        apart = doc[rows] != doc[i]
+        # The first rows before all others: most are of their classes, and the fewer rows are met
+        # under all keys of a text, the fewer texts are compared with it.
+        top = np.flatnonzero((equal >= CLOSE) & apart)[:TOP]
+        met, links = surely(i, rows[top], classes[top]) if len(top) else ([], [])
+        for c in met:
+            apart &= classes != c
+        rest = np.flatnonzero(apart)
+        if not len(rest):
+            return met, links, rows[rest]
+        seen[around[i]] = True
+        seen[0] = False
+        rest = rest[np.count_nonzero(seen[values[rest]], axis=1) >= CLOSE]
+        seen[around[i]] = False
+        if len(rest):
+            more, rows_met = surely(i, rows[rest], classes[rest])
+            met, links = met + more, links + rows_met
+            rest = rest[~np.isin(classes[rest], more)] if more else rest
+            mine = np.broadcast_to(around[i], (len(rest), around.shape[1]))
+            rest = rest[_possible(around[rows[rest]], mine, thin[rows[rest]] | thin[i])]
+        return met, links, rows[rest]
+
+    for i in range(m):
+        met, links, maybe = search(i, lead[:k], np.arange(k), first[:k]) if k else ([], [], lead[:0])
+        joins = len(met) > 0
+        if not joins and n:
+            # Members of classes, too: one of them may be nearer than its first row.
+            met, links, more = search(i, members[:n], own[:n], around[members[:n]])
+            maybe = np.concatenate([maybe, more])
+        found.update((int(doc[i]), int(doc[r])) for r in [*links, *maybe.tolist()])
+        if joins:
+            members[n], own[n] = i, met[0]
+            n += 1
+        else:
+            first[k], lead[k] = around[i], i
+            met.append(k)
+            k += 1
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    return found
+
+
+def _connecting(key: np.ndarray, doc: np.ndarray, around: np.ndarray, thin: np.ndarray) -> np.ndarray:
+    """Pairs ``(doc, earlier doc)`` of whole runs of keys, each run's rows sorted by document,
+    that connect what all pairs connect. Rows with equal surroundings meet the first of them."""
+    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    first = _firsts(run, around)
+    later = np.flatnonzero(first < np.arange(len(key)))
+    pairs = [np.stack([doc[later], doc[first[later]]], axis=1)]
+    left = np.flatnonzero(first == np.arange(len(key)))
+    new = np.flatnonzero(np.concatenate([[True], run[left][1:] != run[left][:-1]]))
+    size = np.diff(np.append(new, len(left)))
+    for n in range(2, FEW + 1):
+        i, j = (np.concatenate(c) for c in zip(*[(new[size == n] + a, new[size == n] + b) for a in range(n) for b in range(a)]))
+        for lo in range(0, len(i), 20_000):
+            a, b = left[i[lo : lo + 20_000]], left[j[lo : lo + 20_000]]
+            a, b = a[doc[a] != doc[b]], b[doc[a] != doc[b]]
+            some = _possible(around[a], around[b], thin[a] | thin[b])
+            pairs.append(np.stack([doc[a][some], doc[b][some]], axis=1))
+    for lo, n in zip(new[size > FEW], size[size > FEW]):
+        r = left[lo : lo + n]
+        pairs.append(np.array(sorted(_forest(doc[r], around[r], thin[r])), np.int64).reshape(-1, 2))
+    return np.unique(np.concatenate(pairs), axis=0)
+
+
+def candidates(rows: DataFrame, every: bool = True) -> DataFrame:
+    """``(doc, other)``: pairs of documents that may share a passage, from :func:`surroundings`;
+    all of them, or those that connect what all connect."""
     import pyarrow as pa
 
+
     def run(frames):
-        for key, doc, around in sorted_runs(frames, ["key", "doc", "around"]):
+        for key, doc, thin, around in sorted_runs(frames, ["key", "doc", "thin", "around"]):
             around = np.frombuffer(b"".join(around), np.uint16).reshape(len(key), GRAM + 2 * REACH)
+            if not every:
+                pairs = _connecting(key, doc, around, thin.astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc", "other"])
+                continue
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(new, len(key)))
             two = new[size == 2]
@@ -483,7 +676,32 @@ def nearest_places(at: Matches) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def similar_spans(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+def aligned_spans(overlap: Overlap, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """Passages along one shift between two texts: the longest stretches from the beginning of
+    each run ``(i, j, n)`` of :func:`diagonals` to the end of another whose places are equal
+    but for one in ``WEIGHT + 1``."""
+    out = []
+    new = np.flatnonzero(np.concatenate([[True], np.diff(j - i) != 0]))
+    total = np.add.reduceat(n, new)
+    enough = total >= SIMILARITY * LEAST
+    for lo, size in zip(new[enough].tolist(), np.diff(np.append(new, len(n)))[enough].tolist()):
+        a, b, shift = i[lo : lo + size], (i + n)[lo : lo + size], int(j[lo] - i[lo])
+        # Rising with every place: what a stretch gains is the difference of its ends.
+        upto = (WEIGHT + 1) * np.cumsum(n[lo : lo + size])
+        ends, starts = upto - WEIGHT * b, upto - (WEIGHT + 1) * n[lo : lo + size] - WEIGHT * a
+        reach = -1
+        for k in range(size):
+            good = np.flatnonzero(ends[k:] >= starts[k])
+            end = int(b[k + good[-1]]) if len(good) else 0
+            if end > reach and end - a[k] >= LEAST:
+                score = overlap.score(a[k], end, a[k] + shift, end + shift)
+                if score >= SIMILARITY:
+                    out.append((int(a[k]), end, int(a[k]) + shift, end + shift, score))
+                    reach = end
+    return out
+
+
+def similar_spans(x: np.ndarray, y: np.ndarray, aligned: bool = False) -> list[tuple[int, int, int, int, float]]:
     """Maximal passages of two lists of shingle hashes: ``(x start, x end, y start, y end,
     Jaccard similarity)``, ends excluded, each of ``PASSAGE`` words and ``SIMILARITY`` or more.
 
@@ -492,7 +710,8 @@ def similar_spans(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int
     that falls short is split at its widest gap and its parts are tried. A changed word takes
     ``SHINGLE`` shingles from both texts, an inserted one nearly so: a passage of the wanted
     similarity whose shingles differ from each other has a run of ``SEED``. One that repeats
-    its own shingles may have none, and is found at the first places only.
+    its own shingles may have none, and is found at the first places only. ``aligned`` adds the
+    passages of one shift, wherever chains are split.
     """
     at = Matches(x, y)
     i, j = nearest_places(at)
@@ -504,6 +723,8 @@ def similar_spans(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int
     for p, q in zip(np.split(i, breaks), np.split(j, breaks)):
         out += similar_parts(overlap, p, q)
     i, j, n = diagonals(at)
+    if aligned:
+        out += aligned_spans(overlap, i, j, n)
     chains, tried = Chains(i, j, n), set()
     # Furthest end of the passages that begin at each place or before it.
     reach = np.zeros(len(x), np.int64)
@@ -531,7 +752,7 @@ SPAN = (
 )
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, text: str, aligned: bool = False) -> DataFrame:
     """Compare the texts of each pair, word by word; ``body`` is a hash of the document's text."""
     import pyarrow as pa
 
@@ -549,7 +770,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             last.update(doc=other, text=other_text, hashes=shingles(word_hashes(other_text, known)))
         y = last["hashes"]
         x = y if text == other_text else shingles(word_hashes(text, known))
-        found = [(0, len(x), 0, len(x), 1.0)] if x is y and len(x) else similar_spans(x, y)
+        found = [(0, len(x), 0, len(x), 1.0)] if x is y and len(x) else similar_spans(x, y, aligned)
         if not found:
             return
         starts, ends = word_places(text)
@@ -573,7 +794,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(run, SPAN).distinct()
 
 
-def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, text: str = "text", every: bool = True) -> DataFrame:
     """Passages of at least ``PASSAGE`` words that an earlier document also has.
 
     One row per passage and earlier document: place in words and characters, the other
@@ -582,7 +803,10 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     A-Z count as a-z. The first document of a group of copies of a passage has no row, each
     other one is compared with the first and with its predecessor, so a group of any size gives
     rows in proportion and none of its members is missed; different passages are compared with
-    each other, by the first of their groups.
+    each other, by the first of their groups. Without ``every``, near copies too are compared
+    with one of the first members of each class alone, where that surely links them around an
+    equal run: texts that ``every`` links are then linked through others, and rows grow in
+    proportion to a group of near copies, not with its square.
 
     A hash function over runs of ``GRAM`` shingles groups all runs of ``SEED`` of a text into
     compact windows; windows with one minimum meet, so texts with an equal run meet for sure.
@@ -598,8 +822,20 @@ def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
     )
     keys = staged(shared_keys(rows), "keys")
-    pairs = candidates(surroundings(rows, keys))
-    return verified(staged(pairs, "pairs"), docs, text)
+    pairs = candidates(surroundings(rows, keys), every)
+    return verified(staged(pairs, "pairs"), docs, text, aligned=not every)
+
+
+def passage_classes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of :func:`repeated_passages` that link each document to its class, and
+    ``class_id``: the smallest doc_id that passages lead to, from one document to the next.
+
+    The document of that doc_id has no row; documents of different classes share no passage.
+    """
+    found = staged(repeated_passages(docs, text, every=False), "passages")
+    classes = connected_components(found.select(F.col("doc_id").alias("a"), F.col("other_doc_id").alias("b")))
+    classes = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
+    return found.join(classes, "doc_id")
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -609,7 +845,7 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     changed texts. Each text loses its own passages, also where several texts have one doc_id.
     Null texts and rows without doc_id stay as they are; an empty table stays empty.
     """
-    found = staged(repeated_passages(docs, text), "passages")
+    found = staged(repeated_passages(docs, text, every=False), "passages")
     spans = found.groupBy("doc_id", "body").agg(
         F.sort_array(F.collect_set(F.struct(
             F.col("start_char").alias("a"), (F.col("start_char") + F.col("n_chars")).alias("b")

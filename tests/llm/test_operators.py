@@ -455,6 +455,52 @@ def test_runs_link_classes_by_their_first_rows():
     assert windows._links(np.zeros(46, np.int64), np.stack(rows)) == set()
 
 
+def test_classes_of_near_copies_need_few_pairs(spark):
+    # Copies of one text, each with words of its own, two groups that a bridge leads to, strangers.
+    rng = random.Random(21)
+    base, rows = prose(900, 200).split(), []
+    for n in range(150):
+        words = list(base)
+        for at in rng.sample(range(200), 4 if n else 0):
+            words[at] = f"own{n}x{at}"
+        rows.append((n, " ".join([prose(5000 + n, 20), *words, prose(6000 + n, 20)])))
+    ends = [prose(910 + k, 60) for k in range(2)]
+    rows += [(200 + n, f"{prose(7000 + n, 30)} {ends[n % 2]}") for n in range(8)] + [(210, " ".join(ends))]
+    rows += [(300 + n, prose(8000 + n, 90)) for n in range(20)]
+    rows.append((310, rows[40][1]))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    every, few = windows.repeated_passages(docs).collect(), windows.passage_classes(docs).collect()
+    root = {d: d for d, _ in rows}
+    for r in every:
+        a, b = root[r.doc_id], root[r.other_doc_id]
+        root = {d: min(a, b) if c in (a, b) else c for d, c in root.items()}
+    assert {r.doc_id for r in few} == {r.doc_id for r in every} and all(root[r.doc_id] == r.class_id for r in few)
+    assert {r.class_id for r in few} == {0, 200}
+    pairs = [len({(r.doc_id, r.other_doc_id) for r in found}) for found in (every, few)]
+    assert pairs[1] < 0.4 * pairs[0]
+    # What is cut is the same but for a few words at the ends.
+    held = [{(r.doc_id, w) for r in found for w in range(r.start_word, r.start_word + r.n_words)} for found in (every, few)]
+    assert len(held[0] - held[1]) < 0.02 * len(held[0])
+
+
+def test_pairs_of_a_run_grow_with_its_rows():
+    rng = np.random.default_rng(8)
+    base = rng.integers(1, 1 << 16, 102).astype(np.uint16)
+    for n in (200, 800):
+        rows = np.tile(base, (n, 1))
+        for row in rows[1:]:
+            for at in rng.choice([*range(40), *range(57, 97)], 2):
+                row[at : at + 5] = rng.integers(1, 1 << 16, 5)
+        pairs = windows._connecting(np.zeros(n, np.int64), np.arange(n), rows, np.zeros(n, bool))
+        assert len(pairs) < 3 * n
+        reached = {0}
+        for a, b in pairs.tolist():
+            reached |= {a} if b in reached else set()
+        assert len(reached) > 0.9 * n
+    assert len(windows._links(np.arange(200), rows[:200])) > 10 * 200
+
+
 def test_passages_with_ambiguous_parts(monkeypatch):
     rng = np.random.default_rng(4)
     some = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
