@@ -224,6 +224,22 @@ def test_samples_decode_and_differ(corpus, empty):
     assert sampling.segmentations(empty).count() == 0
 
 
+def test_samples_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(5)
+    words = ["tion", "re-use", "Straße", "\U0001f600", "a", "\n", "naïve", "counting", "x" * 40]
+    texts = [" ".join(rng.choice(words, n)) for n in (30, 1, 0, 12, 80, 3)] + ["", " ", "a"]
+    grid = sampling.Lattice(__import__("public_tokenizers").path(sampling.MODEL))
+    rows = grid.codes(texts)
+    new = lambda: [np.random.Generator(np.random.Philox(key=[3, k])) for k in range(len(texts))]
+    together = sampling.all_segmentations(grid, rows, 5, new())
+    for text, row, rng, found in zip(texts, rows, new(), together):
+        alone = sampling.top_segmentations(grid, row, 5, rng)
+        assert len(found) == len(alone)
+        for (a, *x), (b, *y) in zip(found, alone):
+            assert a.tolist() == b.tolist() and x == y
+            assert grid.decode(grid.ids(a)[0]) == text == grid.model.decode(grid.ids(a)[0].tolist())
+
+
 def test_samples_follow_the_distribution():
     grid = sampling.Lattice(__import__("public_tokenizers").path(sampling.MODEL))
     (units,) = grid.codes(["tion"])
