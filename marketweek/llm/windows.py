@@ -320,7 +320,8 @@ def _sure(x: np.ndarray, y: np.ndarray, plain: np.ndarray, again: np.ndarray) ->
 
     A changed word takes ``SHINGLE`` places or more; where fewer differ, one may seem equal by
     its 16 bits alone and doesn't count. Nor do the ``again`` places that repeat another one.
-    Rows that aren't ``plain`` must be equal over a passage's whole length.
+    Rows that aren't ``plain`` must be equal over a passage's whole length; that is enough for
+    rows whose places repeat, too, such as those of two words said in turn over and over.
     """
     same = (x == y) & (x != 0)
     gain = _runs_to_key(np.where(same, 1, -WEIGHT).astype(np.int8), LEAST) - (WEIGHT + 1) * again
@@ -335,7 +336,7 @@ def _sure(x: np.ndarray, y: np.ndarray, plain: np.ndarray, again: np.ndarray) ->
                 ends &= ~has[:, k : k - n - 1]
             gap &= ~ends.any(axis=1)
         sure[rest] = gap
-    rest = np.flatnonzero(~plain)
+    rest = np.flatnonzero(~sure & ((again > 0) | ~plain))
     if len(rest):
         right = np.logical_and.accumulate(same[rest, REACH:], axis=1).sum(axis=1)
         left = np.logical_and.accumulate(same[rest, REACH - 1 :: -1], axis=1).sum(axis=1)
@@ -681,23 +682,29 @@ def aligned_spans(overlap: Overlap, i: np.ndarray, j: np.ndarray, n: np.ndarray)
     each run ``(i, j, n)`` of :func:`diagonals` to the end of another whose places are equal
     but for one in ``WEIGHT + 1``."""
     out = []
-    new = np.flatnonzero(np.concatenate([[True], np.diff(j - i) != 0]))
-    total = np.add.reduceat(n, new)
-    enough = total >= SIMILARITY * LEAST
-    for lo, size in zip(new[enough].tolist(), np.diff(np.append(new, len(n)))[enough].tolist()):
-        a, b, shift = i[lo : lo + size], (i + n)[lo : lo + size], int(j[lo] - i[lo])
-        # Rising with every place: what a stretch gains is the difference of its ends.
-        upto = (WEIGHT + 1) * np.cumsum(n[lo : lo + size])
-        ends, starts = upto - WEIGHT * b, upto - (WEIGHT + 1) * n[lo : lo + size] - WEIGHT * a
-        reach = -1
-        for k in range(size):
-            good = np.flatnonzero(ends[k:] >= starts[k])
-            end = int(b[k + good[-1]]) if len(good) else 0
-            if end > reach and end - a[k] >= LEAST:
-                score = overlap.score(a[k], end, a[k] + shift, end + shift)
-                if score >= SIMILARITY:
-                    out.append((int(a[k]), end, int(a[k]) + shift, end + shift, score))
-                    reach = end
+    if not len(i):
+        return out
+    new = np.concatenate([[True], np.diff(j - i) != 0])
+    line = np.cumsum(new) - 1
+    enough = (np.add.reduceat(n, np.flatnonzero(new)) >= SIMILARITY * LEAST)[line]
+    # Rising with every place: what a stretch gains is the difference of its ends. Every shift
+    # lies below all before it, so none gains from another.
+    upto = (WEIGHT + 1) * np.cumsum(n)
+    below = line * (2 * (WEIGHT + 1) * int(n.sum() + (i + n).max()))
+    ends, starts = upto - WEIGHT * (i + n) - below, upto - (WEIGHT + 1) * n - WEIGHT * i - below
+    # The last stretch that still gains: what may be gained from a place on never grows.
+    later = np.maximum.accumulate(ends[::-1])[::-1]
+    last = (i + n)[np.searchsorted(-later, -starts, "right") - 1]
+    some = np.flatnonzero(enough & (last - i >= LEAST))
+    at, reach = -1, -1
+    for of, a, end, shift in zip(line[some].tolist(), i[some].tolist(), last[some].tolist(), (j - i)[some].tolist()):
+        if of != at:
+            at, reach = of, -1
+        if end > reach:
+            score = overlap.score(a, end, a + shift, end + shift)
+            if score >= SIMILARITY:
+                out.append((a, end, a + shift, end + shift, score))
+                reach = end
     return out
 
 

@@ -564,3 +564,19 @@ def test_licences(spark, empty):
     assert dict(zip(out.doc_id, out.family)) == {1: "apache-2.0", 2: "mit", 3: "gpl", 4: "cc-by-nc"}
     assert (out.paragraph == 1).all()
     assert licences.scan(empty).count() == 0
+
+
+def test_two_words_in_turn_link_in_proportion():
+    rng = np.random.default_rng(8)
+    m, around = 200, windows.GRAM + 2 * windows.REACH
+    rows = rng.integers(100, 60_000, (m, around)).astype(np.uint16)
+    for k, row in enumerate(rows):
+        # The shingles of two words in turn around the key, more or fewer of them before it.
+        before = 2 * (k % 15)
+        row[windows.REACH - before : windows.REACH + 50] = np.resize([7, 9], before + 50)
+    links = windows._forest(np.arange(m), rows, np.zeros(m, bool))
+    assert len(links) < 2 * m
+    root = list(range(m))
+    for a, b in sorted(links):
+        root = [root[b] if r == root[a] else r for r in root]
+    assert len(set(root)) == 1
